@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from leadrank.plans import ranking_queries  # noqa: F401
+from leadrank.plans import evidence_queries, ranking_queries, text_queries  # noqa: F401
 from leadrank.plans.registry import ORACLES, QUERIES  # noqa: F401
