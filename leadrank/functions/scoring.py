@@ -11,15 +11,11 @@ from pyspark.sql import Column, functions as F, types as T
 from leadrank.functions.fixed import DIMENSION_WEIGHTS, STAGES
 
 
-def is_finite(value: Column) -> Column:
-    number = value.cast("double")
-    return number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
-
-
 def clamp(value: Column) -> Column:
     """Value limited to 0..10; null for what is not a finite number."""
     number = value.cast("double")
-    return F.when(is_finite(value), F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)))
+    # Infinity minus itself is not a number, so the difference is 0 only for finite values.
+    return F.when(number - number == 0.0, F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)))
 
 
 @F.pandas_udf(T.DoubleType())

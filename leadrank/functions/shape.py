@@ -1,8 +1,10 @@
 """Closed JSON shapes: declared once, checked as columns on data at rest and as Python in a call loop.
 
 A shape says which keys a JSON object must have and what each value may be; any other key is an error.
-`from_json` alone cannot tell a missing key from a null or an unknown one, and turns numbers into text,
-so the column form looks at the parsed VARIANT.
+`from_json` alone cannot tell a missing key from a null or an unknown one, and turns numbers into text. So
+the column form takes two things from a text, each once: the type of every key, spelled by
+`schema_of_variant` and matched by one pattern per key, and the typed values for bounds, lengths and
+vocabularies.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass, field
 from datetime import date, datetime
 from typing import Any
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _URL = r"(?i)^https?://[^\s/?#]*[^\s/?#@:][^\s/?#]*([/?#].*)?$"
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
@@ -24,10 +26,6 @@ _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _MAX_URL = 2083
 
 
-def _variant(value: Column, path: str = "$", kind: str = "variant") -> Column:
-    return F.try_variant_get(value, path, kind)
-
-
 def _true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
@@ -42,10 +40,13 @@ class Text:
     form: str | None = None
     nullable: bool = False
 
-    def column(self, value: Column) -> Column:
-        kind = F.schema_of_variant(value)
-        text = _variant(value, "$", "string")
-        good = kind == "STRING"
+    ddl = "string"
+
+    def pattern(self) -> str:
+        return "(?:STRING|VOID)" if self.nullable else "STRING"
+
+    def typed_ok(self, text: Column) -> Column:
+        good = F.lit(True)
         if self.min_len:
             good &= F.length(text) >= self.min_len
         if self.max_len is not None:
@@ -58,7 +59,7 @@ class Text:
             good &= text.rlike(_DATE) & text.try_cast("date").isNotNull()
         elif self.form == "timestamp":
             good &= text.rlike(_STAMP) & text.try_cast("timestamp").isNotNull()
-        return _true(good | (kind == "VOID")) if self.nullable else _true(good)
+        return text.isNull() | good if self.nullable else text.isNotNull() & good
 
     def problem(self, value: Any) -> str | None:
         if value is None and self.nullable:
@@ -105,11 +106,13 @@ class Rating:
     low: int = 0
     high: int = 10
 
-    def column(self, value: Column) -> Column:
-        return _true(
-            (F.schema_of_variant(value) == "BIGINT")
-            & _variant(value, "$", "long").between(self.low, self.high)
-        )
+    ddl = "bigint"
+
+    def pattern(self) -> str:
+        return "BIGINT"
+
+    def typed_ok(self, number: Column) -> Column:
+        return number.between(self.low, self.high)
 
     def problem(self, value: Any) -> str | None:
         if isinstance(value, bool) or not isinstance(value, int):
@@ -124,12 +127,15 @@ class Rating:
 class Number:
     """A finite number; numbers written as text and booleans count too."""
 
-    def column(self, value: Column) -> Column:
-        kind = F.schema_of_variant(value)
-        number = number_of(value)
-        numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
-        text = (kind == "STRING") & _variant(value, "$", "string").rlike(_NUMBER)
-        return _true((numeric | text) & ~F.isnan(number) & (F.abs(number) != float("inf")))
+    ddl = "string"
+
+    def pattern(self) -> str:
+        return r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9]+,[0-9]+\)|STRING)"
+
+    def typed_ok(self, text: Column) -> Column:
+        number = text.try_cast("double")
+        # Infinity minus itself is not a number, so the difference is 0 only for finite values.
+        return text.rlike(_NUMBER) & (number - number == 0.0)
 
     def problem(self, value: Any) -> str | None:
         if isinstance(value, str):
@@ -144,13 +150,6 @@ class Number:
         return {"type": "number"}
 
 
-def number_of(value: Column) -> Column:
-    """Number held by a variant, also where it is written as text or is a boolean."""
-    as_text = F.trim(_variant(value, "$", "string")).try_cast("double")
-    flag = F.when(F.schema_of_variant(value) == "BOOLEAN", _variant(value, "$", "boolean").cast("double"))
-    return F.coalesce(flag, as_text)
-
-
 @dataclass(frozen=True)
 class Items:
     """A JSON array of one shape."""
@@ -158,12 +157,17 @@ class Items:
     item: Any
     max_len: int | None = None
 
-    def column(self, value: Column) -> Column:
-        array = _variant(value, "$", "array<variant>")
-        good = array.isNotNull() & F.forall(array, self.item.column)
-        if self.max_len is not None:
-            good &= F.size(array) <= self.max_len
-        return _true(good)
+    @property
+    def ddl(self) -> str:
+        return f"array<{self.item.ddl}>"
+
+    def pattern(self) -> str:
+        # An empty array, or one of nulls only, has no item type; nulls beside items show in the values only.
+        return f"ARRAY<(?:VOID|{self.item.pattern()})>"
+
+    def typed_ok(self, array: Column) -> Column:
+        good = F.forall(array, lambda item: _true(self.item.typed_ok(item)))
+        return good if self.max_len is None else (F.size(array) <= self.max_len) & good
 
     def problem(self, value: Any) -> str | None:
         if not isinstance(value, list):
@@ -181,10 +185,15 @@ class Items:
 
 @dataclass(frozen=True)
 class AnyObject:
-    """A JSON object with any content."""
+    """A JSON object with any content, kept as text. Only fit for the end of a pattern."""
 
-    def column(self, value: Column) -> Column:
-        return _true(F.schema_of_variant(value).startswith("OBJECT<"))
+    ddl = "string"
+
+    def pattern(self) -> str:
+        return "OBJECT<.*>"
+
+    def typed_ok(self, text: Column) -> Column:
+        return text.isNotNull()
 
     def problem(self, value: Any) -> str | None:
         return None if isinstance(value, dict) else "not an object"
@@ -200,24 +209,57 @@ class Closed:
     fields: Mapping[str, Any]
     optional: frozenset[str] = field(default_factory=frozenset)
 
-    def problem_column(self, value: Column) -> Column:
-        """Name of the first fault: `malformed`, `unknown_field` or the field at fault; null if none."""
-        keys = F.map_keys(_variant(value, "$", "map<string,variant>"))
-        allowed = F.array(*[F.lit(name) for name in self.fields])
+    @property
+    def ddl(self) -> str:
+        return "struct<" + ",".join(f"{name}:{shape.ddl}" for name, shape in self.fields.items()) + ">"
+
+    def pattern(self) -> str:
+        """Pattern of the type text; it lists the keys of an object in alphabetical order."""
+        parts = []
+        for name in sorted(self.fields):
+            part = f"{name}: {self.fields[name].pattern()}(?:, |(?=>))"
+            parts.append(f"(?:{part})?" if name in self.optional else part)
+        return "OBJECT<" + "".join(parts) + ">"
+
+    def typed_ok(self, struct: Column) -> Column:
+        good = struct.isNotNull()
+        for name, shape in self.fields.items():
+            inner = _true(shape.typed_ok(struct[name]))
+            good &= (struct[name].isNull() | inner) if name in self.optional else inner
+        return good
+
+    def with_problem(self, rows: DataFrame, text: str, name: str, typed: str = "_typed") -> DataFrame:
+        """Adds `name`, the first fault of a JSON text column, and `typed`, its values.
+
+        The fault is `malformed`, `unknown_field` or the field at fault; null if there is none. Types and
+        values come from projections of their own, so that a text is not parsed again for every field.
+        """
+        fields = F.try_variant_get(F.try_parse_json(F.col(text)), "$", "map<string,variant>")
+        # A JSON null arrives as a missing value of a present key.
+        spelled = F.transform_values(
+            F.col("_fields"), lambda _, value: F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+        )
+        kinds, values = F.col("_kinds"), F.col(typed)
+        allowed = F.array(*[F.lit(field) for field in self.fields])
         checks = [
-            F.when(keys.isNull(), F.lit("malformed")),
-            F.when(F.size(F.array_except(keys, allowed)) > 0, F.lit("unknown_field")),
+            F.when(kinds.isNull(), F.lit("malformed")),
+            F.when(F.size(F.array_except(F.map_keys(kinds), allowed)) > 0, F.lit("unknown_field")),
         ]
-        for name, shape in self.fields.items():
-            child = _variant(value, f"$.{name}")
-            good = shape.column(child)
-            if name in self.optional:
-                good |= child.isNull()
-            checks.append(F.when(~good, F.lit(name)))
-        return F.coalesce(*checks)
-
-    def column(self, value: Column) -> Column:
-        return self.problem_column(value).isNull()
+        for field, shape in self.fields.items():
+            kind = kinds[field]
+            good = _true(kind.rlike(f"^{shape.pattern()}$") & shape.typed_ok(values[field]))
+            if isinstance(shape, Number):
+                good |= _true(kind == "BOOLEAN")
+            if field in self.optional:
+                good |= kind.isNull()
+            checks.append(F.when(~good, F.lit(field)))
+        return (
+            rows.withColumn("_fields", fields)
+            .withColumn("_kinds", spelled)
+            .withColumn(typed, F.from_json(F.col(text), self.ddl))
+            .withColumn(name, F.coalesce(*checks))
+            .drop("_fields", "_kinds")
+        )
 
     def problem(self, value: Any) -> str | None:
         if not isinstance(value, dict):

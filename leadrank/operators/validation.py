@@ -7,10 +7,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadrank.functions import records
-from leadrank.functions.fixed import HUMAN_RATINGS, OUTPUT_TRIES
-from leadrank.functions.shape import Closed, number_of
+from leadrank.functions.fixed import DIMENSION_WEIGHTS, HUMAN_RATINGS, OUTPUT_TRIES
 from leadrank.functions.scoring import clamp
-from leadrank.functions.fixed import DIMENSION_WEIGHTS
+from leadrank.functions.shape import Closed
 from leadrank.operators.evidence import (
     evidence_array,
     gate_reason,
@@ -18,64 +17,63 @@ from leadrank.operators.evidence import (
     response_completed,
     response_text,
 )
+from leadrank.session import cut_lineage
 
 
-def json_problem(text: Column, shape: Closed) -> Column:
-    """First fault of a JSON text against a closed shape, null if it is valid."""
-    return F.coalesce(
-        shape.problem_column(F.try_parse_json(text)), F.when(text.isNull(), F.lit("malformed"))
-    )
+def with_problem(rows: DataFrame, text: str, shape: Closed, name: str = "problem") -> DataFrame:
+    """Adds the first fault of a JSON text column against a closed shape, null if it is valid."""
+    return shape.with_problem(rows, text, name).drop("_typed")
 
 
-def discovery_problem(text: Column) -> Column:
-    return json_problem(text, records.DISCOVERY)
+def validate_discovery_output(outputs: DataFrame, text: str = "text") -> DataFrame:
+    """Whole responses: an object with only `candidates`, an array of at most ten objects."""
+    return with_problem(outputs, text, records.DISCOVERY)
 
 
-def evaluation_problem(text: Column) -> Column:
-    return json_problem(text, records.EVALUATION)
+def validate_evaluation(outputs: DataFrame, text: str = "text") -> DataFrame:
+    return with_problem(outputs, text, records.EVALUATION)
 
 
-def legacy_scores_problem(text: Column) -> Column:
-    return json_problem(text, records.LEGACY_SCORES)
+def validate_strategy(outputs: DataFrame, text: str = "text") -> DataFrame:
+    return with_problem(outputs, text, records.STRATEGY)
 
 
-def strategy_problem(text: Column) -> Column:
-    return json_problem(text, records.STRATEGY)
+def validate_scores(outputs: DataFrame, text: str = "text") -> DataFrame:
+    """Legacy scores: adds `problem` and the six clamped dimensions, null where the text is invalid."""
+    checked = records.LEGACY_SCORES.with_problem(outputs, text, "problem", "_typed")
+    numbers = {}
+    for name in DIMENSION_WEIGHTS:
+        written = F.col("_typed")[name]
+        flag = F.when(written == "true", 1.0).when(written == "false", 0.0)
+        numbers[name] = F.when(F.col("problem").isNull(), clamp(F.coalesce(written.try_cast("double"), flag)))
+    return checked.withColumns(numbers).drop("_typed")
 
 
 def typed_json(text: Column, ddl: str) -> Column:
     """Valid JSON text as a typed struct."""
-    return F.try_variant_get(F.try_parse_json(text), "$", ddl)
-
-
-def legacy_dimensions(text: Column) -> dict[str, Column]:
-    """Clamped legacy dimensions of a valid JSON text."""
-    parsed = F.try_parse_json(text)
-    return {
-        name: clamp(number_of(F.try_variant_get(parsed, f"$.{name}", "variant")))
-        for name in DIMENSION_WEIGHTS
-    }
+    return F.from_json(text, ddl)
 
 
 def explode_candidates(outputs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per raw candidate with its position in the response; other columns are kept."""
+    """One row per raw candidate, as JSON text, with its position in the response; other columns are kept."""
     keep = [name for name in outputs.columns if name != text]
-    items = F.try_variant_get(F.try_parse_json(F.col(text)), "$.candidates", "array<variant>")
+    items = F.from_json(F.col(text), records.DISCOVERY.ddl)["candidates"]
     return outputs.select(*keep, F.posexplode(items).alias("item_no", "item"))
 
 
 def validate_candidates(items: DataFrame, item: str = "item") -> DataFrame:
     """Adds `reject_reason` and the typed struct `candidate` (null where rejected)."""
-    reason = records.CANDIDATE.problem_column(F.col(item))
-    empty_facts = F.array().cast(f"array<{records.FACT_DDL}>")
-    typed = F.try_variant_get(F.col(item), "$", records.CANDIDATE_DDL)
-    typed = typed.withField("research_facts", F.coalesce(typed["research_facts"], empty_facts))
-    typed = typed.withField(
-        "research_unknowns", F.coalesce(typed["research_unknowns"], F.array().cast("array<string>"))
-    )
-    return items.withColumn("reject_reason", reason).withColumn(
-        "candidate", F.when(F.col("reject_reason").isNull(), typed)
-    )
+    checked = records.CANDIDATE.with_problem(items, item, "reject_reason", "_typed")
+    values = F.col("_typed")
+    typed = {
+        **{name: values[name] for name in records.CANDIDATE_FIELDS},
+        "published_at": values["published_at"].try_cast("date"),
+        "discovered_at": values["discovered_at"].try_cast("timestamp"),
+        "research_facts": F.coalesce(values["research_facts"], F.array().cast(f"array<{records.FACT_DDL}>")),
+        "research_unknowns": F.coalesce(values["research_unknowns"], F.array().cast("array<string>")),
+    }
+    struct = F.struct(*[column.alias(name) for name, column in typed.items()])
+    return checked.withColumn("candidate", F.when(F.col("reject_reason").isNull(), struct)).drop("_typed")
 
 
 def review_candidates(items: DataFrame, today: date | Column, evidence: str = "evidence") -> DataFrame:
@@ -86,7 +84,11 @@ def review_candidates(items: DataFrame, today: date | Column, evidence: str = "e
 
 
 def split_accept_reject(reviewed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows, and the rejected count per topic (topics without rejection are absent)."""
+    """Accepted rows, and the rejected count per topic (topics without rejection are absent).
+
+    The review is written once; both results read it from there.
+    """
+    reviewed = cut_lineage(reviewed)
     accepted = reviewed.where(F.col("reject_reason").isNull())
     rejected = (
         reviewed.where(F.col("reject_reason").isNotNull())
@@ -106,16 +108,16 @@ def topic_counts(reviewed: DataFrame) -> DataFrame:
 
 def attempts_with_problem(responses: DataFrame, shape: Closed) -> DataFrame:
     """Raw attempts with `text`, row-local `evidence` and the fault of the output."""
-    parsed = responses.withColumn("parsed", parse_response(F.col("response")))
-    return parsed.select(
+    parsed = responses.withColumn("parsed", parse_response(F.col("response"))).select(
         "request_id",
         "attempt",
         response_text(F.col("parsed")).alias("text"),
         evidence_array(F.col("parsed")).alias("evidence"),
-        F.when(~response_completed(F.col("parsed")), F.lit("not_completed"))
-        .otherwise(json_problem(response_text(F.col("parsed")), shape))
-        .alias("problem"),
+        response_completed(F.col("parsed")).alias("completed"),
     )
+    checked = with_problem(parsed, "text", shape, "fault")
+    problem = F.when(F.col("completed"), F.col("fault")).otherwise("not_completed")
+    return checked.select("request_id", "attempt", "text", "evidence", problem.alias("problem"))
 
 
 def last_valid_attempt(attempts: DataFrame, tries: int = OUTPUT_TRIES) -> DataFrame:

@@ -206,7 +206,7 @@ def _document_items(spark: SparkSession, folder: str) -> DataFrame:
     canonical = F.array(F.concat(site, F.lit("/"), F.col("doc_id").cast("string")), F.concat(site, F.lit("/")))
     evidence = F.when(F.col("doc_id") % 5 != 0, canonical).otherwise(F.slice(canonical, 2, 1))
     return table(spark, folder, "documents").select(
-        "doc_id", F.col("lang").alias("topic"), F.try_parse_json(raw).alias("item"), evidence.alias("evidence")
+        "doc_id", F.col("lang").alias("topic"), raw.alias("item"), evidence.alias("evidence")
     )
 
 
@@ -287,7 +287,7 @@ FROM orders"""
 )
 def discovery_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """V2: whole responses that are invalid, with the reason."""
-    return _order_outputs(spark, folder).select("o_orderkey", va.discovery_problem(F.col("text")).alias("problem"))
+    return va.validate_discovery_output(_order_outputs(spark, folder)).select("o_orderkey", "problem")
 
 
 @query(
@@ -297,9 +297,9 @@ WHERE o_orderkey % 6 NOT IN (1, 2, 3, 4) AND o_orderkey % 13 <= 10"""
 )
 def candidate_items(spark: SparkSession, folder: str) -> DataFrame:
     """One row per raw candidate of the valid responses, with its position."""
-    valid = _order_outputs(spark, folder).where(va.discovery_problem(F.col("text")).isNull())
+    valid = va.validate_discovery_output(_order_outputs(spark, folder)).where(F.col("problem").isNull())
     return va.explode_candidates(valid).select(
-        "o_orderkey", "item_no", F.try_variant_get("item", "$.no", "long").alias("no")
+        "o_orderkey", "item_no", F.get_json_object("item", "$.no").cast("long").alias("no")
     )
 
 
@@ -342,9 +342,7 @@ FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FR
 )
 def strict_evaluations(spark: SparkSession, folder: str) -> DataFrame:
     """V3: evaluations with fifteen strict integers; text, fractions, booleans and bounds are faults."""
-    return _event_evaluations(spark, folder).select(
-        "event_id", va.evaluation_problem(F.col("text")).alias("problem")
-    )
+    return va.validate_evaluation(_event_evaluations(spark, folder)).select("event_id", "problem")
 
 
 def _line_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -377,16 +375,9 @@ FROM lineitem"""
 )
 def legacy_scores(spark: SparkSession, folder: str) -> DataFrame:
     """V4 + M1 + M2: legacy scores checked, clamped and added up."""
-    problem = va.legacy_scores_problem(F.col("text"))
-    total = weighted_total(va.legacy_dimensions(F.col("text")))
-    return (
-        _line_scores(spark, folder)
-        .withColumn("problem", problem)
-        .select(
-            "l_orderkey", "l_linenumber", "l_partkey", "problem",
-            F.when(F.col("problem").isNull(), total).alias("total_score"),
-        )
-    )
+    checked = va.validate_scores(_line_scores(spark, folder))
+    total = weighted_total({name: F.col(name) for name in DIMENSION_WEIGHTS})
+    return checked.select("l_orderkey", "l_linenumber", "l_partkey", "problem", total.alias("total_score"))
 
 
 def _customer_strategies(spark: SparkSession, folder: str) -> DataFrame:
@@ -424,8 +415,7 @@ def strategy_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """V5 + N4: strategies checked, and the valid ones unpacked."""
     typed = va.typed_json(F.col("text"), records.STRATEGY_DDL)
     return (
-        _customer_strategies(spark, folder)
-        .withColumn("problem", va.strategy_problem(F.col("text")))
+        va.validate_strategy(_customer_strategies(spark, folder))
         .select("c_custkey", "problem", F.when(F.col("problem").isNull(), typed["proposal"]["title"]).alias("title"))
     )
 

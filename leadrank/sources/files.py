@@ -48,20 +48,15 @@ def read_replay(spark: SparkSession, path: str, whole_array: bool = False) -> Da
     file. Text, not inferred JSON: inference would hide wrong types.
     """
     if whole_array:
-        parsed = F.try_parse_json(F.col("value"))
-        array = F.coalesce(
-            F.try_variant_get(parsed, "$", "array<variant>"), F.array(F.parse_json(F.lit("null")))
-        )
+        # What is no array becomes one malformed item, so that the read fails instead of finding nothing.
+        array = F.coalesce(F.from_json("value", "array<string>"), F.array(F.lit("")))
         items = spark.read.text(path, wholetext=True).select(F.posexplode(array).alias("ord", "item"))
         items = items.withColumn("ord", F.col("ord").cast("long"))
     else:
-        line = F.try_parse_json(F.col("value"))
-        # The arrival number travels with the item but is no part of its shape.
-        fields = F.try_variant_get(line, "$", "map<string,variant>")
-        bare = F.map_filter(fields, lambda name, _: name != "ord")
+        # The arrival number stands first in a line and is no part of the item.
         items = spark.read.text(path).select(
-            F.try_variant_get(line, "$.ord", "long").alias("ord"),
-            F.try_parse_json(F.to_json(bare)).alias("item"),
+            F.get_json_object("value", "$.ord").cast("long").alias("ord"),
+            F.regexp_replace("value", r'^\{"ord":\d+,', "{").alias("item"),
         )
     checked = validate_candidates(items)
     fault = F.concat(F.lit("replay item rejected: "), F.col("reject_reason"))
