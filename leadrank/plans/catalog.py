@@ -1,4 +1,10 @@
 """All registered queries."""
 
-from leadrank.plans import evidence_queries, ranking_queries, text_queries  # noqa: F401
+from leadrank.plans import (  # noqa: F401
+    entity_queries,
+    evidence_queries,
+    job_queries,
+    ranking_queries,
+    text_queries,
+)
 from leadrank.plans.registry import ORACLES, QUERIES  # noqa: F401

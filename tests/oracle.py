@@ -14,6 +14,9 @@ TABLES = (
 ).split()
 
 
+SAME_TYPE = {"string": "varchar", "int": "integer"}
+
+
 def connect(folder):
     connection = duckdb.connect()
     for name in TABLES:
@@ -38,6 +41,10 @@ def compare(spark, connection, folder, name):
         return None, len(ours), seconds
     cursor = connection.execute(catalog.ORACLES[name])
     names = [item[0] for item in cursor.description]
+    kinds = {item[0]: str(item[1]).lower() for item in cursor.description}
+    for name_, kind in result.dtypes:
+        if SAME_TYPE.get(kind, kind) != kinds.get(name_):
+            return f"type of {name_}: {kind} / {kinds.get(name_)}", len(ours), seconds
     theirs = pd.DataFrame(cursor.fetchall(), columns=names, dtype=object)
     if sorted(ours.columns) != sorted(theirs.columns):
         return f"columns {sorted(ours.columns)} / {sorted(theirs.columns)}", len(ours), seconds
