@@ -234,7 +234,14 @@ class Closed:
         The fault is `malformed`, `unknown_field` or the field at fault; null if there is none. Types and
         values come from projections of their own, so that a text is not parsed again for every field.
         """
-        fields = F.try_variant_get(F.try_parse_json(F.col(text)), "$", "map<string,variant>")
+        # The parser ignores what follows a complete value. A mark behind the text, in one array with it,
+        # only turns up in its place if nothing does.
+        mark = F.xxhash64(F.col(text))
+        marked = F.concat(F.lit("["), F.col(text), F.lit(","), mark.cast("string"), F.lit("]"))
+        fields = F.when(
+            F.try_variant_get("_parsed", "$[1]", "long") == mark,
+            F.try_variant_get("_parsed", "$[0]", "map<string,variant>"),
+        )
         # A JSON null arrives as a missing value of a present key.
         spelled = F.transform_values(
             F.col("_fields"), lambda _, value: F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
@@ -254,11 +261,12 @@ class Closed:
                 good |= kind.isNull()
             checks.append(F.when(~good, F.lit(field)))
         return (
-            rows.withColumn("_fields", fields)
+            rows.withColumn("_parsed", F.try_parse_json(marked))
+            .withColumn("_fields", fields)
             .withColumn("_kinds", spelled)
             .withColumn(typed, F.from_json(F.col(text), self.ddl))
             .withColumn(name, F.coalesce(*checks))
-            .drop("_fields", "_kinds")
+            .drop("_parsed", "_fields", "_kinds")
         )
 
     def problem(self, value: Any) -> str | None:

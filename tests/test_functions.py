@@ -165,7 +165,7 @@ def test_both_validators_agree(spark, candidate):
             [{"candidates": value} for value in ([], [{}] * 10, [{}] * 11, [1], [{}, None], [{}, []], None, {})],
         ),
     ]
-    raw = ["", "{", "nul", '{"a":1}}', '{"candidates": NaN}', '{"timing": Infinity}']
+    raw = ['{"candidates":[]} x', '{"candidates":[]}] [', '{"candidates":[]},', "", "{", "nul", '{"a":1}}', '{"candidates": NaN}', '{"timing": Infinity}']
     for shape, values in cases:
         texts = [json.dumps(value, ensure_ascii=False) for value in values] + raw
         rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
