@@ -185,11 +185,13 @@ class Items:
 
 @dataclass(frozen=True)
 class AnyObject:
-    """A JSON object with any content, kept as text. Only fit for the end of a pattern."""
+    """A JSON object with any content, kept as text."""
 
     ddl = "string"
 
     def pattern(self) -> str:
+        # Any content could imitate what follows, so this pattern must stand at the end of a field and a
+        # shape that holds it has no other fields.
         return "OBJECT<.*>"
 
     def typed_ok(self, text: Column) -> Column:
@@ -238,15 +240,15 @@ class Closed:
         # only turns up in its place if nothing does.
         mark = F.xxhash64(F.col(text))
         marked = F.concat(F.lit("["), F.col(text), F.lit(","), mark.cast("string"), F.lit("]"))
-        fields = F.when(
-            F.try_variant_get("_parsed", "$[1]", "long") == mark,
-            F.try_variant_get("_parsed", "$[0]", "map<string,variant>"),
-        )
-        # A JSON null arrives as a missing value of a present key.
+        whole = F.try_variant_get("_parsed", "$[1]", "long") == mark
+        values = F.col(typed)
+        good = F.schema_of_variant("_object").rlike(f"^{self.pattern()}$") & self.typed_ok(values)
+        # Only faulty rows are taken apart. A JSON null arrives as a missing value of a present key.
         spelled = F.transform_values(
-            F.col("_fields"), lambda _, value: F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+            F.try_variant_get("_object", "$", "map<string,variant>"),
+            lambda _, value: F.coalesce(F.schema_of_variant(value), F.lit("VOID")),
         )
-        kinds, values = F.col("_kinds"), F.col(typed)
+        kinds = F.col("_kinds")
         allowed = F.array(*[F.lit(field) for field in self.fields])
         checks = [
             F.when(kinds.isNull(), F.lit("malformed")),
@@ -254,19 +256,20 @@ class Closed:
         ]
         for field, shape in self.fields.items():
             kind = kinds[field]
-            good = _true(kind.rlike(f"^{shape.pattern()}$") & shape.typed_ok(values[field]))
+            fine = _true(kind.rlike(f"^{shape.pattern()}$") & shape.typed_ok(values[field]))
             if isinstance(shape, Number):
-                good |= _true(kind == "BOOLEAN")
+                fine |= _true(kind == "BOOLEAN")
             if field in self.optional:
-                good |= kind.isNull()
-            checks.append(F.when(~good, F.lit(field)))
+                fine |= kind.isNull()
+            checks.append(F.when(~fine, F.lit(field)))
         return (
             rows.withColumn("_parsed", F.try_parse_json(marked))
-            .withColumn("_fields", fields)
-            .withColumn("_kinds", spelled)
+            .withColumn("_object", F.when(whole, F.try_variant_get("_parsed", "$[0]", "variant")))
             .withColumn(typed, F.from_json(F.col(text), self.ddl))
-            .withColumn(name, F.coalesce(*checks))
-            .drop("_parsed", "_fields", "_kinds")
+            .withColumn("_good", _true(good))
+            .withColumn("_kinds", F.when(~F.col("_good"), spelled))
+            .withColumn(name, F.when(~F.col("_good"), F.coalesce(*checks)))
+            .drop("_parsed", "_object", "_good", "_kinds")
         )
 
     def problem(self, value: Any) -> str | None:

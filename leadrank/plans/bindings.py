@@ -18,6 +18,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row: a file with fewer splits than cores is dealt out to all of them.
+
+    A large table has more splits than that and is read as it is, without a shuffle.
+    """
+    rows = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def day_number(ts: Column) -> Column:
     return F.unix_date(ts.cast("date")).cast("long")
 

@@ -8,7 +8,7 @@ from leadrank.functions import records
 from leadrank.functions.fixed import DIMENSION_WEIGHTS, STAGES
 from leadrank.functions.scoring import weighted_total
 from leadrank.operators import evidence as ev, validation as va
-from leadrank.plans.bindings import TODAY, table
+from leadrank.plans.bindings import TODAY, spread_table, table
 from leadrank.plans.registry import query
 from leadrank.plans.text_queries import SQL_PAGE, page_date, page_language
 
@@ -205,7 +205,7 @@ def _document_items(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.when(kind == 9, F.lit("{broken")).otherwise(body)
     canonical = F.array(F.concat(site, F.lit("/"), F.col("doc_id").cast("string")), F.concat(site, F.lit("/")))
     evidence = F.when(F.col("doc_id") % 5 != 0, canonical).otherwise(F.slice(canonical, 2, 1))
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents").select(
         "doc_id", F.col("lang").alias("topic"), raw.alias("item"), evidence.alias("evidence")
     )
 
@@ -332,7 +332,7 @@ def _event_evaluations(spark: SparkSession, folder: str) -> DataFrame:
         '"risks":["a","b","c"],"research_needed":[]'
     )
     body = F.concat(F.lit("{"), F.concat_ws(",", *stages), F.lit("," + rest + "}"))
-    return table(spark, folder, "events").select("event_id", body.alias("text"))
+    return spread_table(spark, folder, "events").select("event_id", body.alias("text"))
 
 
 @query(
@@ -362,7 +362,7 @@ def _line_scores(spark: SparkSession, folder: str) -> DataFrame:
     ]
     body = F.concat(F.lit("{"), F.concat_ws(",", *values), F.lit(',"reason":"r","risks":[]'))
     text = F.concat(body, F.when(kind == 5, F.lit(',"more":0}')).otherwise(F.lit("}")))
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))
+    return spread_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))
 
 
 @query(

@@ -15,9 +15,12 @@ from leadrank.plans.bindings import (
     SQL_SCORES,
     event_ratings,
     event_scores,
+    evaluation_of_event,
+    spread_table,
     table,
 )
 from leadrank.plans.registry import query
+from leadrank.session import cut_lineage
 
 
 @query(
@@ -102,7 +105,20 @@ FROM top"""
 )
 def stage_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """Stage means and coverage of the ranked rows."""
-    return ranking.stage_summary(ranking.select_top(event_scores(spark, folder), 5))
+    top = _top_events(spark, folder)
+    return ranking.stage_summary(top.withColumn("evaluation_json", evaluation_of_event()))
+
+
+def _top_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events selected into a top five, with their rank.
+
+    Ranking sees narrow rows only. The selected ones, written once so that their size is known, then fetch
+    their payload; what is not selected never carries any.
+    """
+    scores = event_scores(spark, folder).select("run_id", "company_id", "trigger_id", "total_score")
+    top = cut_lineage(ranking.select_top(scores, 5))
+    events = table(spark, folder, "events").withColumn("trigger_id", F.col("event_id"))
+    return events.join(top, "trigger_id")
 
 
 _DIMENSIONS = {
@@ -281,17 +297,19 @@ def seen_ranges(spark: SparkSession, folder: str) -> DataFrame:
 def _report_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ranked rows with their candidates, and strategies for the users that ever purchased that day."""
     events = table(spark, folder, "events")
-    candidates = events.select(
-        F.col("event_id").alias("trigger_id"),
+    ranked = _top_events(spark, folder).select(
+        "trigger_id",
+        "run_id",
+        "company_id",
+        "total_score",
+        "selected_rank",
+        evaluation_of_event().alias("evaluation_json"),
         F.struct(
             F.concat(F.lit("Company "), F.col("user_id").cast("string")).alias("company_name"),
             F.concat(F.lit("Event "), F.col("event_type")).alias("trigger_title"),
             F.concat(F.lit("https://e.example/"), F.col("event_id").cast("string")).alias("source_url"),
         ).alias("candidate_json"),
     )
-    top = ranking.select_top(event_scores(spark, folder), 5)
-    # The top rows are few and unique by trigger; adaptive execution broadcasts them by their size.
-    ranked = candidates.join(top, "trigger_id")
     text = lambda prefix: F.concat(F.lit(prefix), F.col("event_type"))
     strategies = events.where(F.col("event_type") != "error").select(
         F.unix_date(F.col("ts").cast("date")).cast("long").alias("run_id"),
@@ -312,12 +330,11 @@ def _report_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
         ).alias("content_json"),
     )
     run_rows = (
-        event_scores(spark, folder)
-        .groupBy("run_id")
+        events.groupBy(F.unix_date(F.col("ts").cast("date")).cast("long").alias("run_id"))
         .agg(
-            F.countDistinct("company_id").alias("candidate_count"),
-            F.countDistinct("company_id").alias("scored_count"),
-            F.count_if(F.col("model") != "error").alias("strategy_count"),
+            F.countDistinct("user_id").alias("candidate_count"),
+            F.countDistinct("user_id").alias("scored_count"),
+            F.count_if(F.col("event_type") != "error").alias("strategy_count"),
         )
         .withColumn("status", F.lit("completed"))
         .withColumn("day", F.date_from_unix_date(F.col("run_id").cast("int")))
@@ -393,4 +410,4 @@ FROM documents, unnest(range(0, CAST(ceil(length(text) / 100.0) AS BIGINT))) AS
 )
 def message_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in pieces of at most 100 UTF-16 units."""
-    return report.split_messages(table(spark, folder, "documents"), "text", ["doc_id"], 100)
+    return report.split_messages(spread_table(spark, folder, "documents"), "text", ["doc_id"], 100)
