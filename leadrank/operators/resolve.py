@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leadrank.functions.text import normalize_name, website_domain
 from leadrank.operators.ids import BLOCK_WIDTH, arrival_block, assign_ids
+from leadrank.operators.skew import HOT_ROWS, salted_lookup
 from leadrank.session import cut_lineage
 
 _START = -(1 << 62)
@@ -42,13 +43,14 @@ def identify(candidates: DataFrame) -> DataFrame:
 
 
 def first_per_domain(identified: DataFrame) -> DataFrame:
-    """Leader of each domain: arrival number and name of its first candidate."""
+    """Leader of each domain: arrival number and name of its first candidate; and the number of candidates."""
     return (
         identified.where(F.col("domain").isNotNull())
         .groupBy("domain")
         .agg(
             F.min("ord").alias("leader_ord"),
             F.min_by("normalized_name", "ord").alias("normalized_name"),
+            F.count(F.lit(1)).alias("key_rows"),
         )
     )
 
@@ -180,16 +182,19 @@ def _place_movers(movers: DataFrame, companies: DataFrame, width: int) -> DataFr
 
 
 def resolve_companies(
-    candidates: DataFrame, companies: DataFrame, next_id_after: int = 0, width: int = BLOCK_WIDTH
+    candidates: DataFrame,
+    companies: DataFrame,
+    next_id_after: int = 0,
+    width: int = BLOCK_WIDTH,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds domain, normalized_name, company_id, creates_company and fills_domain to every candidate.
 
     `candidates` needs a unique LONG `ord`, `company_name` and `website`. `companies` is the stored table.
     New companies get ids after `next_id_after` in arrival order of the candidates that made them.
 
-    Candidates of one domain collapse to their leader before any shuffle. The final lookup is a left join
-    against one row per domain or bare candidate; a domain with a third of all rows is a skewed left side
-    there, which adaptive execution splits.
+    Candidates of one domain collapse to their leader before any shuffle. The final lookup meets one row per
+    domain or bare candidate; a domain with more than `hot_rows` candidates is salted there.
     """
     identified = identify(candidates)
     narrow = identified.select("ord", "domain", "normalized_name")
@@ -208,7 +213,12 @@ def resolve_companies(
         next_id_after,
         width,
     )
-    outcome = placed.join(new_ids, "creator_ord", "left").select(
+    # A company of a common name has many members. Rows of a stored company get a key of their own, since
+    # rows without a key would all meet in one task.
+    members = placed.groupBy("creator_ord").agg(F.count(F.lit(1)).alias("key_rows"))
+    placed = placed.withColumn("creator", F.coalesce(F.col("creator_ord"), -1 - F.col("ord")))
+    created = new_ids.join(members, "creator_ord").withColumnRenamed("creator_ord", "creator")
+    outcome = salted_lookup(placed, created, ["creator"], "ord", hot_rows).select(
         _handle(F.col("domain"), F.col("ord")).alias("handle"),
         F.coalesce("existing_id", "new_id").alias("company_id"),
         F.col("ord").alias("mover_ord"),
@@ -222,10 +232,14 @@ def resolve_companies(
         F.lit(False).alias("creates"),
         F.lit(False).alias("fills"),
     )
+    counts = domains.select(F.col("domain").alias("handle"), "key_rows")
+    entries = (
+        outcome.unionByName(stored).join(counts, "handle", "left").fillna(1, ["key_rows"])
+    )
     moved_here = F.coalesce(F.col("ord") == F.col("mover_ord"), F.lit(False))
+    handled = identified.withColumn("handle", _handle(F.col("domain"), F.col("ord")))
     return (
-        identified.withColumn("handle", _handle(F.col("domain"), F.col("ord")))
-        .join(outcome.unionByName(stored), "handle", "left")
+        salted_lookup(handled, cut_lineage(entries), ["handle"], "ord", hot_rows)
         .withColumn("creates_company", moved_here & F.col("creates"))
         .withColumn("fills_domain", moved_here & F.col("fills"))
         .drop("handle", "mover_ord", "creates", "fills")

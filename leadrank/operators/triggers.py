@@ -16,6 +16,8 @@ from leadrank.functions.text import (
 )
 from leadrank.operators.ids import BLOCK_WIDTH, assign_ids
 from leadrank.operators.matching import ARTICLE, FINGERPRINT, GROUP, first_come_matching
+from leadrank.operators.skew import HOT_ROWS, salted_lookup
+from leadrank.session import cut_lineage
 
 _EDGE = [*GROUP, "fingerprint", "article"]
 
@@ -43,6 +45,7 @@ def dedup_triggers(
     next_id_after: int = 0,
     width: int = BLOCK_WIDTH,
     group_limit: int = 200_000,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds fingerprint, article, trigger_id and is_new to every resolved candidate.
 
@@ -51,13 +54,13 @@ def dedup_triggers(
 
     Copies of one observation collapse, before the shuffle, to one edge (company, type, fingerprint,
     article); all lookups of history and of this run's triggers happen on edges. Candidates meet them in one
-    last left join.
+    last lookup, where an edge with more than `hot_rows` copies is salted.
     """
     marked = mark_triggers(resolved)
-    edges = marked.groupBy(*_EDGE).agg(F.min("ord").alias("ord"))
+    edges = marked.groupBy(*_EDGE).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("key_rows"))
     by_fingerprint, by_article = _stored_marks(triggers)
-    known = edges.join(by_fingerprint, ["company_id", "fingerprint"], "left").join(
-        by_article, ARTICLE, "left"
+    known = cut_lineage(
+        edges.join(by_fingerprint, ["company_id", "fingerprint"], "left").join(by_article, ARTICLE, "left")
     )
     free = known.where(F.col("fingerprint_id").isNull() & F.col("article_id").isNull())
     kept = assign_ids(
@@ -80,9 +83,10 @@ def dedup_triggers(
             "left",
         )
     )
-    extra = [name for name in decided.columns if name not in _EDGE]
+    decided = cut_lineage(decided)
+    extra = [name for name in decided.columns if name not in (*_EDGE, "key_rows")]
     return (
-        marked.join(decided, _EDGE, "left")
+        salted_lookup(marked, decided, _EDGE, "ord", hot_rows)
         .withColumn(
             "trigger_id",
             F.coalesce(
@@ -131,13 +135,16 @@ def new_triggers(
     )
 
 
+def _last_places(observed: DataFrame) -> DataFrame:
+    return observed.groupBy("trigger_id").agg(F.max("ord").alias("ord"), F.min("ord").alias("first_ord"))
+
+
 def latest_observation_per_trigger(observed: DataFrame) -> DataFrame:
     """Per trigger its last observation, with `first_ord`, the place of its first one.
 
     Only arrival numbers are aggregated; the payload follows by the unique arrival number.
     """
-    last = observed.groupBy("trigger_id").agg(F.max("ord").alias("ord"), F.min("ord").alias("first_ord"))
-    return observed.drop("trigger_id").join(last, "ord")
+    return observed.drop("trigger_id").join(_last_places(observed), "ord")
 
 
 def unscored(observed: DataFrame, scores: DataFrame) -> DataFrame:
@@ -146,5 +153,11 @@ def unscored(observed: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def eligible_triggers(observed: DataFrame, scores: DataFrame, replay: bool = False) -> DataFrame:
-    """What a run scores: each unscored trigger once, with its last payload. A replay scores all."""
-    return latest_observation_per_trigger(observed if replay else unscored(observed, scores))
+    """What a run scores: each unscored trigger once, with its last payload. A replay scores all.
+
+    Observations of a trigger collapse to their places before they meet the scores, so a trigger seen very
+    often is one row there.
+    """
+    if replay:
+        return latest_observation_per_trigger(observed)
+    return observed.drop("trigger_id").join(unscored(_last_places(observed), scores), "ord")

@@ -119,7 +119,7 @@ FROM sighting WHERE d IS NOT NULL GROUP BY d"""
 )
 def domain_leaders(spark: SparkSession, folder: str) -> DataFrame:
     """The first sighting of each domain."""
-    return first_per_domain(identify(page_companies(spark, folder)))
+    return first_per_domain(identify(page_companies(spark, folder))).drop("key_rows")
 
 
 def _page_observations(spark: SparkSession, folder: str) -> DataFrame:

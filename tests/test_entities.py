@@ -64,7 +64,7 @@ def test_resolution_equals_the_rule(spark, as_of, width, step, partitions):
     expected, final = one_by_one(candidates, companies)
     stored = company_frame(spark, companies, as_of)
     found = resolve_companies(
-        candidate_frame(spark, candidates, step).repartition(partitions), stored, len(companies), width
+        candidate_frame(spark, candidates, step).repartition(partitions), stored, len(companies), width, hot_rows=2
     )
     placed = {row.ord // step: row.company_id for row in found.collect()}
     assert [placed[i] for i in range(len(candidates))] == expected
@@ -136,8 +136,8 @@ def check_triggers(spark, as_of, rows, history, **options):
     assert [got[i] for i in range(len(rows))] == triggers_one_by_one(rows, history)
 
 
-@pytest.mark.parametrize("group_limit", [200_000, 2, 0])
-def test_dedup_equals_the_rule(spark, as_of, group_limit):
+@pytest.mark.parametrize("group_limit, hot_rows", [(200_000, 10**6), (2, 2), (0, 1)])
+def test_dedup_equals_the_rule(spark, as_of, group_limit, hot_rows):
     rng, rows, history = random.Random(group_limit), [], []
     for company in range(120):
         titles = [f"t{i}" for i in range(rng.randint(1, 5))]
@@ -150,7 +150,7 @@ def test_dedup_equals_the_rule(spark, as_of, group_limit):
                 history.append((company, kind, title, url))
         rows += [(company, rng.choice("xy"), rng.choice(titles), rng.choice(urls)) for _ in range(rng.randint(1, 14))]
     rng.shuffle(rows)
-    check_triggers(spark, as_of, rows, history, group_limit=group_limit, width=100)
+    check_triggers(spark, as_of, rows, history, group_limit=group_limit, width=100, hot_rows=hot_rows)
 
 
 def test_dropped_rows_do_not_extend_the_match(spark, as_of):
