@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadrank.functions.fixed import COVERAGE_LEVELS, STAGES
-from leadrank.functions.scoring import evaluation_priority
+from leadrank.functions.scoring import priority, stage_mean
 
 # One prime per rating, in stage order, so that ratings vary independently of each other.
 PRIMES = (3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53)
@@ -64,22 +64,22 @@ def evaluation_of_event() -> Column:
     )
 
 
+def event_means() -> list[Column]:
+    """Stage means of an event, straight from its ratings."""
+    return [stage_mean([rating(number * 5 + i) for i in range(5)]) for number in range(len(STAGES))]
+
+
 def event_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Events as score rows: the day is the run, the user the company, the event the trigger."""
-    events = table(spark, folder, "events")
-    return (
-        events.withColumn("evaluation_json", evaluation_of_event())
-        .select(
-            F.col("event_id").alias("id"),
-            day_number(F.col("ts")).alias("run_id"),
-            F.col("user_id").alias("company_id"),
-            F.col("event_id").alias("trigger_id"),
-            F.col("event_type").alias("model"),
-            F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("prompt_version"),
-            "evaluation_json",
-            evaluation_priority(F.col("evaluation_json")).alias("total_score"),
-            F.lit(None).cast("int").alias("selected_rank"),
-        )
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("id"),
+        day_number(F.col("ts")).alias("run_id"),
+        F.col("user_id").alias("company_id"),
+        F.col("event_id").alias("trigger_id"),
+        F.col("event_type").alias("model"),
+        F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("prompt_version"),
+        priority(*event_means()).alias("total_score"),
+        F.lit(None).cast("int").alias("selected_rank"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadrank.functions.fixed import COVERAGE_LEVELS, LABELS, REPORT_TITLE, STAGES
-from leadrank.functions.scoring import evaluation_means, weighted_total
+from leadrank.functions.scoring import evaluation_means, evaluation_priority, weighted_total
 from leadrank.functions.text import format_g
 from leadrank.operators import ranking, report, runs
 from leadrank.plans.bindings import (
@@ -87,9 +87,14 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {SQL_SCORES} SELECT id, need, win, deliver, total_score FROM scores")
 def stage_priorities(spark: SparkSession, folder: str) -> DataFrame:
     """M3 + M4: stage means and priority of every event."""
-    means = evaluation_means(F.col("evaluation_json"))
-    return event_scores(spark, folder).select(
-        "id", *[means[stage].alias(stage) for stage in STAGES], "total_score"
+    evaluated = table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), evaluation_of_event().alias("evaluation")
+    )
+    means = evaluation_means(F.col("evaluation"))
+    return evaluated.select(
+        "id",
+        *[means[stage].alias(stage) for stage in STAGES],
+        evaluation_priority(F.col("evaluation")).alias("total_score"),
     )
 
 
