@@ -40,13 +40,10 @@ class Store:
         return [run for run in runs if self.exists(f"{self.path(table)}/run_id={run}/_SUCCESS")]
 
     def ensure_tables(self) -> None:
-        """Create missing tables, empty, with their declared schema."""
-        for table, ddl in TABLES.items():
-            if not self.exists(self.path(table)):
-                empty = self.spark.createDataFrame([], ddl)
-                if "run_id" not in empty.columns:
-                    empty = empty.withColumn("run_id", F.lit(0).cast("long"))
-                empty.write.mode("ignore").partitionBy("run_id").parquet(self.path(table))
+        """Create missing tables as empty folders; readers bring the declared schema."""
+        for table in TABLES:
+            files, location = self._files(self.path(table))
+            files.mkdirs(location)
 
     def read(self, table: str, before_run: int | None = None) -> DataFrame:
         """A table with its declared columns, optionally only what runs before `before_run` wrote."""
