@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadrank.llm import mixing
+from leadrank.llm import mixing, simhash
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
@@ -68,3 +68,9 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with the words that a mix of the sources takes of each."""
     units = cut_lineage(mixing.measured(table(spark, folder, "documents")).select("doc_id", "source", "size", "mix_hash"))
     return mixing.apply_thresholds(units, mixing.thresholds(units)).drop("source")
+
+
+@query()
+def op3_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with SimHash fingerprint and component."""
+    return simhash.simhash_components(table(spark, folder, "documents"))
