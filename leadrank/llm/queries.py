@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadrank.llm import mixing, simhash
+from leadrank.llm import mixing, simhash, tiling
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
@@ -74,3 +74,9 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op3_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with SimHash fingerprint and component."""
     return simhash.simhash_components(table(spark, folder, "documents"))
+
+
+@query()
+def op7_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and how much of it the tiles cover."""
+    return tiling.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
