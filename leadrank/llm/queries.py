@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadrank.llm import mixing, simhash, tiling
+from leadrank.llm import mixing, simhash, surrogates, tiling
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
+# Stands for the secret that a user keeps; with another key all surrogates differ.
+SURROGATE_KEY = "synthetic tables"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -80,3 +83,10 @@ def op3_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
 def op7_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and how much of it the tiles cover."""
     return tiling.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op5_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.pseudonymized(docs, SURROGATE_KEY)
