@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadrank.llm import mixing, simhash, surrogates, tiling
+from leadrank.llm import language, mixing, simhash, surrogates, tiling, toxicity
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
@@ -90,3 +90,19 @@ def op5_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with surrogates for personal data."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return surrogates.pseudonymized(docs, SURROGATE_KEY)
+
+
+@query()
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with the score of a classifier that learns from labelled rows outside the held-out quarter."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query()
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with the language that output codes give them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language.identified(docs.drop("lang"), language.fit(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
