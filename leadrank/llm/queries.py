@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from leadrank.llm import language, mixing, simhash, surrogates, tiling, toxicity
+from leadrank.llm import bpe_counts, language, mixing, simhash, surrogates, tiling, toxicity
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
@@ -106,3 +107,10 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     found = language.identified(docs.drop("lang"), language.fit(docs))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query()
+def op6_bpe_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their size in bytes and tokens."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe_counts.counted(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
