@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from leadrank.llm.common import text_key, without
 from leadrank.session import cut_lineage
@@ -144,29 +144,33 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["item_key", "seed", "places", "words"])
 
 
-def _doc_seeds(seed_filter, bits: int):
-    def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seeded(seed_filter, bits: int, fewest: int):
+    """Texts with at least `fewest` different seeds that the filter lets pass, and these seeds."""
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, words, shift = Coder(), seed_filter.value, np.uint64(64 - bits)
         for batch in batches:
-            keys, seeds = [], []
-            for key, text in zip(batch.column(0), batch.column(1)):
+            places, seeds = [], []
+            for place, text in enumerate(batch.column(1)):
                 hashes = window_hashes(code(text.as_py()), LEAST_WORDS)
                 bit = hashes >> shift
                 hit = (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
                 found = np.unique(hashes[hit.astype(bool)])
-                if len(found):
-                    keys += [key.as_py()] * len(found)
-                    seeds.append(found)
-            joined = np.concatenate([np.empty(0, np.uint64), *seeds]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(joined)], ["doc_key", "seed"])
+                if len(found) >= fewest:
+                    places.append(place)
+                    seeds.append(found.view(np.int64))
+            kept = batch.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column(0), kept.column(1), pa.array(seeds, pa.list_(pa.int64()))], ["doc_key", "doc_text", "seeds"]
+            )
 
-    return seeds_of
+    return seeded
 
 
 def _seed_filter(seeds: DataFrame):
     """A bit per seed, found by the top bits of its hash; built by Spark, at most 2**MAX_FILTER_BITS bits."""
     count = seeds.count()
-    bits = min(MAX_FILTER_BITS, max(10, (32 * count).bit_length()))
+    bits = min(MAX_FILTER_BITS, max(10, (1024 * count).bit_length()))
     place = F.shiftrightunsigned("seed", 64 - bits)
     word = F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))")
     rows = (
@@ -199,19 +203,34 @@ def leaked_texts(
     the tiles cover at least `coverage` of the item.
 
     To reach it, an item of n words must have matches at coverage * n / 5 of its seeds at least; only such pairs are
-    tiled. Items with fewer than five words hold no seed and match nothing.
+    tiled, and a text with fewer different seeds than any item needs is passed over at once. Items with fewer than
+    five words hold no seed and match nothing.
     """
     items = benchmark.select(text_key(item_text).alias("item_key"), F.col(item_text).alias("item_text")).distinct()
     seeds = cut_lineage(items.mapInArrow(_item_seeds, "item_key string, seed long, places long, words long"))
+    need = F.ceil(F.col("words") * F.lit(coverage) / LEAST_WORDS)
+    most_places = Window.partitionBy("item_key").orderBy(F.desc("places"), "seed")
+    fewest = (
+        seeds.withColumn("reached", F.sum("places").over(most_places.rowsBetween(Window.unboundedPreceding, 0)) >= need)
+        .groupBy("item_key")
+        .agg((F.count_if(~F.col("reached")) + 1).alias("seeds"))
+        .agg(F.min("seeds"))
+        .first()[0]
+    )
     bitmap, bits = _seed_filter(seeds)
     keyed = docs.select(text_key(text).alias("doc_key"), F.col(text).alias("doc_text"))
-    hits = keyed.mapInArrow(_doc_seeds(bitmap, bits), "doc_key string, seed long").distinct()
-    enough = F.sum("places") >= F.ceil(F.first("words") * F.lit(coverage) / LEAST_WORDS)
+    near = keyed.mapInArrow(_seeded(bitmap, bits, fewest or 1), "doc_key string, doc_text string, seeds array<long>")
+    near = cut_lineage(near)
+    hits = near.select("doc_key", F.explode("seeds").alias("seed")).distinct()
     pairs = cut_lineage(
-        hits.join(seeds, "seed").groupBy("doc_key", "item_key").agg(enough.alias("enough")).where("enough").drop("enough")
+        hits.join(seeds, "seed")
+        .groupBy("doc_key", "item_key")
+        .agg((F.sum("places") >= F.first(need)).alias("enough"))
+        .where("enough")
+        .drop("enough")
     )
     texts = (
-        keyed.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi")
+        near.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi")
         .groupBy("doc_key")
         .agg(F.first("doc_text").alias("doc_text"))
     )
