@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
@@ -104,10 +103,14 @@ class TokenCounter:
         return total + self._plain(text[start:] if start else text)
 
 
-@lru_cache(maxsize=2)
+_COUNTERS: dict[str, TokenCounter] = {}
+
+
 def counter(path: str) -> TokenCounter:
     """One counter per Python worker and file, so that its pieces serve all tasks of the worker."""
-    return TokenCounter(path)
+    if path not in _COUNTERS:
+        _COUNTERS[path] = TokenCounter(path)
+    return _COUNTERS[path]
 
 
 def counted(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:

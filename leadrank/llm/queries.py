@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadrank.llm import bpe_counts, language, mixing, simhash, surrogates, tiling, toxicity
+from leadrank.llm import bpe_counts, language, minhash, mixing, simhash, surrogates, tiling, toxicity
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
@@ -114,3 +114,9 @@ def op6_bpe_counts(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with their size in bytes and tokens."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe_counts.counted(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
+@query()
+def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their fingerprints and those of their edited texts."""
+    return minhash.fingerprinted(table(spark, folder, "documents"))
