@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadrank.llm import bpe_counts, language, minhash, mixing, simhash, surrogates, tiling, toxicity
+from leadrank.llm import bpe_counts, language, line_blocks, minhash, mixing, simhash, surrogates, tiling, toxicity
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
@@ -120,3 +120,9 @@ def op6_bpe_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with their fingerprints and those of their edited texts."""
     return minhash.fingerprinted(table(spark, folder, "documents"))
+
+
+@query()
+def op10_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages with their main text."""
+    return line_blocks.extracted(table(spark, folder, "pages"))
