@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadrank.llm import bpe_counts, language, line_blocks, minhash, mixing, simhash, surrogates, tiling, toxicity
+from leadrank.llm import bpe_counts, language, line_blocks, minhash, mixing, revisits, simhash, surrogates, tiling, toxicity
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
@@ -126,3 +126,105 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """All pages with their main text."""
     return line_blocks.extracted(table(spark, folder, "pages"))
+
+
+def archive_records(pages: DataFrame) -> DataFrame:
+    """The pages as records of a web archive: each one is fetched once, and revisited twice within hours under another
+    spelling of its address. Some first fetches fail, some revisits bring another validator or none."""
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit("")).cast("binary")), 1, 8), F.lit('"'))
+    at = F.lit(1_700_000_000).cast("long") + F.col("page_id") * 61
+    header = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    first = F.array(
+        header("Content-Type", F.lit("text/html")),
+        header("Content-Length", F.octet_length("html")),
+        header("ETag", tag),
+        header("Date", at),
+        header("Cache-Control", F.lit("max-age=60")),
+    )
+    fetched = pages.select(
+        (F.col("page_id") * 4).alias("record_id"),
+        F.lit("response").alias("type"),
+        "url",
+        at.alias("at"),
+        F.when(F.col("page_id") % 7 == 3, 404).otherwise(200).alias("status"),
+        first.alias("headers"),
+        F.col("html").alias("payload"),
+    )
+    turn = F.col("turn").cast("long")
+    later = at + turn * 3600 * (1 + F.col("page_id") % 29)
+    sent = F.when(F.col("page_id") % 5 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag))
+    always = [
+        header("Date", later),
+        header("CACHE-CONTROL", F.lit("max-age=120")),
+        header("Content-Length", F.lit("0")),
+        header("Connection", F.lit("close")),
+    ]
+    again = F.when(F.col("page_id") % 11 == 0, F.array(*always)).otherwise(F.array(header("etag", sent), *always))
+    spelled = F.when(turn == 1, F.concat("url", F.lit("#again"))).otherwise(F.regexp_replace("url", "^https://", "HTTP://WWW."))
+    revisited = pages.withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        F.col("page_id") * 4 + turn,
+        F.lit("revisit"),
+        spelled,
+        later,
+        F.lit(304),
+        again,
+        F.lit(None).cast("string"),
+    )
+    return fetched.union(revisited)
+
+
+REVISIT_SQL = r"""
+WITH pairs AS (
+  SELECT *, 1700000000 + page_id * 61 AS fetched, '"' || substr(md5(coalesce(html, '')), 1, 8) || '"' AS tag FROM pages),
+records AS (
+  SELECT page_id, 0 AS turn, page_id * 4 AS record_id, url, fetched AS seen, tag, html FROM pairs
+  UNION ALL
+  SELECT page_id, turn, page_id * 4 + turn,
+         CASE turn WHEN 1 THEN url || '#again' ELSE regexp_replace(url, '^https://', 'HTTP://WWW.') END,
+         fetched + turn * 3600 * (1 + page_id % 29), tag, NULL
+  FROM pairs, (VALUES (1), (2)) turns(turn)),
+cut AS (
+  SELECT *, split_part(regexp_replace(trim(url), '^https?://', '', 'i'), '#', 1) AS bare FROM records),
+parts AS (
+  SELECT *, split_part(split_part(bare, '?', 1), '/', 1) AS host,
+         substr(split_part(bare, '?', 1), length(split_part(split_part(bare, '?', 1), '/', 1)) + 1) AS path,
+         CASE WHEN contains(bare, '?') THEN substr(bare, length(split_part(bare, '?', 1)) + 2) ELSE '' END AS query
+  FROM cut),
+keyed AS (
+  SELECT *, nullif(regexp_replace(regexp_replace(lower(host), ':(80|443)$', ''), '^www\.', '')
+         || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '/+$', '')
+         || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT
+              regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid|sid|sessionid|jsessionid|phpsessid)(=|$)'))), '&'), ''), ''), '') AS url_key
+  FROM parts),
+stored AS (SELECT * FROM keyed WHERE turn = 0 AND page_id % 7 <> 3 AND html IS NOT NULL),
+found AS (
+  SELECT k.record_id, max_by(s.record_id, {'seen': s.seen, 'id': s.record_id}) AS response_id
+  FROM keyed k JOIN stored s ON k.url_key = s.url_key AND s.seen < k.seen WHERE k.turn > 0 GROUP BY k.record_id),
+judged AS (
+  SELECT k.*, f.response_id, s.html AS body, s.tag AS stored_tag, s.seen AS stored_at,
+         CASE WHEN f.response_id IS NULL THEN 'missing' WHEN k.page_id % 11 = 0 THEN 'unverified'
+              WHEN (CASE WHEN k.page_id % 5 = 0 THEN '"other"' ELSE k.tag END) = s.tag THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM keyed k LEFT JOIN found f USING (record_id) LEFT JOIN stored s ON s.record_id = f.response_id WHERE k.turn > 0)
+SELECT record_id, url_key, response_id, outcome,
+       CASE WHEN outcome IN ('resolved', 'unverified') THEN
+         'content-type: text/html; content-length: ' || CAST(strlen(body) AS VARCHAR) || '; etag: ' || stored_tag
+           || '; date: ' || CAST(seen AS VARCHAR) || '; cache-control: max-age=120'
+       ELSE CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 5 = 0 THEN 'etag: "other"; ' ELSE 'etag: W/' || tag || '; ' END
+           || 'date: ' || CAST(seen AS VARCHAR) || '; cache-control: max-age=120; content-length: 0; connection: close' END AS headers,
+       CASE WHEN outcome IN ('resolved', 'unverified') THEN sha256(body) END AS payload_sha256
+FROM judged"""
+
+
+@query(REVISIT_SQL)
+def op4_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """All revisit records of an archive of the pages, with the response that each one stands for."""
+    found = revisits.resolved(archive_records(table(spark, folder, "pages")))
+    lines = F.transform("headers", lambda h: F.concat(F.lower(h["name"]), F.lit(": "), h["value"]))
+    return found.select(
+        "record_id",
+        "url_key",
+        "response_id",
+        "outcome",
+        F.array_join(lines, "; ").alias("headers"),
+        F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"),
+    )
