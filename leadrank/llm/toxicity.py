@@ -131,14 +131,15 @@ def minimise(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, fairness: float =
             v /= norm
         return norm
 
-    rate = 1 / (0.25 * bound(x) / len(x) + 2 * fairness * bound(swaps) / many + RIDGE)
-    weights = ahead = np.zeros(x.shape[1], np.float64)
+    rate = np.float32(1 / (0.25 * bound(x) / len(x) + 2 * fairness * bound(swaps) / many + RIDGE))
+    y = y.astype(np.float32)  # single precision throughout, so that no product copies the matrix
+    weights = ahead = np.zeros(x.shape[1], np.float32)
     for step in range(1, STEPS + 1):
         chance = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        slope = x.T @ (chance - y) / len(x) + 2 * fairness * (swaps.T @ (swaps @ ahead)) / many
-        slope[:-1] += RIDGE * ahead[:-1]
+        slope = x.T @ (chance - y) / np.float32(len(x)) + np.float32(2 * fairness / many) * (swaps.T @ (swaps @ ahead))
+        slope[:-1] += np.float32(RIDGE) * ahead[:-1]
         new = ahead - rate * slope
-        ahead = new + (step - 1) / (step + 2) * (new - weights)
+        ahead = new + np.float32((step - 1) / (step + 2)) * (new - weights)
         weights = new
     return weights
 
