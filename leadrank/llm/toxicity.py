@@ -121,15 +121,13 @@ def minimise(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, fairness: float =
     swaps = np.hstack([swaps, np.zeros((len(swaps), 1), np.float32)])
     many = max(1, len(swaps))
 
-    def bound(a: np.ndarray) -> float:  # largest eigenvalue of a'a by power iteration
-        v = np.ones(a.shape[1], np.float32)
-        for _ in range(20):
-            v = a.T @ (a @ v)
+    def bound(a: np.ndarray) -> float:  # a little above the largest eigenvalue of a'a, by power iteration
+        v = np.random.default_rng(0).standard_normal(a.shape[1]).astype(np.float32)
+        norm = 0.0
+        for _ in range(50):
+            v = a.T @ (a @ (v / max(1e-20, float(np.linalg.norm(v)))))
             norm = float(np.linalg.norm(v))
-            if norm == 0:
-                return 0.0
-            v /= norm
-        return norm
+        return 1.05 * norm
 
     rate = np.float32(1 / (0.25 * bound(x) / len(x) + 2 * fairness * bound(swaps) / many + RIDGE))
     y = y.astype(np.float32)  # single precision throughout, so that no product copies the matrix
