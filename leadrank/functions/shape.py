@@ -20,8 +20,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 _URL = r"(?i)^https?://[^\s/?#]*[^\s/?#@:][^\s/?#]*([/?#].*)?$"
-_DATE = r"^\d{4}-\d{2}-\d{2}$"
-_STAMP = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([Zz]|[+-]\d{2}:?\d{2})?$"
+# Dates and stamps must match as a whole; `$` would let a line break follow.
+_DATE = r"\d{4}-\d{2}-\d{2}"
+_STAMP = r"\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([Zz]|[+-]\d{2}:?\d{2})?"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _MAX_URL = 2083
 
@@ -56,9 +57,9 @@ class Text:
         if self.form == "url":
             good &= text.rlike(_URL) & (F.length(text) <= _MAX_URL)
         elif self.form == "date":
-            good &= text.rlike(_DATE) & text.try_cast("date").isNotNull()
+            good &= text.rlike(rf"\A(?:{_DATE})\z") & text.try_cast("date").isNotNull()
         elif self.form == "timestamp":
-            good &= text.rlike(_STAMP) & text.try_cast("timestamp").isNotNull()
+            good &= text.rlike(rf"\A(?:{_STAMP})\z") & text.try_cast("timestamp").isNotNull()
         return text.isNull() | good if self.nullable else text.isNotNull() & good
 
     def problem(self, value: Any) -> str | None:
@@ -74,13 +75,13 @@ class Text:
             return "url"
         if self.form == "date":
             try:
-                good = re.search(_DATE, value) and date.fromisoformat(value)
+                good = re.fullmatch(_DATE, value) and date.fromisoformat(value)
             except ValueError:
                 good = None
             return None if good else "date"
         if self.form == "timestamp":
             try:
-                good = re.search(_STAMP, value) and datetime.fromisoformat(value.replace(" ", "T").upper())
+                good = re.fullmatch(_STAMP, value) and datetime.fromisoformat(value.replace(" ", "T").upper())
             except ValueError:
                 good = None
             return None if good else "timestamp"
@@ -298,10 +299,20 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
+def _no_repeats(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("repeated key")
+    return found
+
+
 def text_problem(shape: Closed, text: str | None) -> str | None:
-    """Fault of a JSON text, for use inside a call loop; null if it has the shape."""
+    """Fault of a JSON text, for use inside a call loop; null if it has the shape.
+
+    Repeated keys, nesting beyond what a parser can follow and numbers beyond a double are malformed, as in columns.
+    """
     try:
-        value = json.loads(text or "", parse_constant=_no_constant)
-    except ValueError:
+        value = json.loads(text or "", parse_constant=_no_constant, object_pairs_hook=_no_repeats)
+        return shape.problem(value)
+    except (ValueError, OverflowError, RecursionError):
         return "malformed"
-    return shape.problem(value)

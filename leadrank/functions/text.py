@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from leadrank.functions.fixed import LEGAL_FORMS, PLACEHOLDER_SECRET, REDACTED
 
-_BLANK = re.compile(r"\s+")
-
-
-def plain_normalize_name(name: str) -> str:
-    """Normal form of one name; the helper behind `normalize_name`."""
-    name = unicodedata.normalize("NFKC", name).casefold()
-    for form in LEGAL_FORMS:
-        name = name.replace(form, "")
-    return _BLANK.sub("", name)
+def fold_names(names: pd.Series) -> pd.Series:
+    """Normal forms of names: NFKC and case folding, then legal forms out one after the other, then white space."""
+    folded = names.str.normalize("NFKC").str.casefold()
+    return reduce(lambda kept, form: kept.str.replace(form, "", regex=False), LEGAL_FORMS, folded).str.replace(
+        r"\s+", "", regex=True
+    )
 
 
 @F.pandas_udf(T.StringType())
 def _normalize_wide(names: pd.Series) -> pd.Series:
-    return names.map(plain_normalize_name, na_action="ignore")
+    return fold_names(names)
 
 
 def normalize_name(name: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Arrival numbers are unique, so a block of this width holds at most this many rows of any group.
+from leadrank.session import cut_lineage
+
+# Dense arrival numbers: a block of this width holds at most this many rows of any group.
 BLOCK_WIDTH = 1 << 18
 
 
@@ -13,30 +15,29 @@ def arrival_block(order: str | Column, width: int = BLOCK_WIDTH) -> Column:
     return F.floor(column / F.lit(width)).cast("long")
 
 
-def assign_ids(
-    rows: DataFrame, order: str, id_column: str, start: int = 0, width: int = BLOCK_WIDTH
-) -> DataFrame:
-    """Adds ids start+1, start+2, ... in the order of the unique LONG column `order`.
+def assign_ids(rows: DataFrame, order: str | list[str], id_column: str, start: int = 0) -> DataFrame:
+    """Adds ids start+1, start+2, ... in the order of `order`, whose values may be sparse, hashed or texts.
 
-    Rows are ranked inside blocks of the arrival number; only the block sizes, one row for every `width`
-    arrivals, pass through a single ordered window.
+    Rows are dealt out by range and written, so that their partition stays known; ranks within a partition follow from
+    a window over that partition alone. What passes through the driver is one row count per partition.
     """
-    blocked = rows.withColumn("_block", arrival_block(order, width))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy("_block")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    )
-    within = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    columns = [order] if isinstance(order, str) else order
+    dealt = cut_lineage(rows.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((row["_part"], row["count"]) for row in dealt.groupBy("_part").count().collect())
+    offsets, before = [], start
+    for part, size in sizes:
+        offsets.append((part, before))
+        before += size
+    known = rows.sparkSession.createDataFrame(offsets, "_part int, _offset long")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*columns))
     return (
-        blocked.withColumn("_place", within)
-        .join(offsets, "_block")
-        .withColumn(id_column, (F.lit(start) + F.col("_offset") + F.col("_place")).cast("long"))
-        .drop("_block", "_place", "_offset")
+        dealt.withColumn("_place", within)
+        .join(F.broadcast(known), "_part")
+        .withColumn(id_column, (F.col("_offset") + F.col("_place")).cast("long"))
+        .drop("_part", "_place", "_offset")
     )
 
 
 def max_id(table: DataFrame) -> int:
-    """Highest id in use; one number, read from file statistics and partial maxima."""
+    """Highest id in use: one number, combined from the maxima of the map tasks."""
     return table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]

@@ -11,6 +11,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -23,6 +24,8 @@ RESULT_DDL = (
     "error_type string"
 )
 _INPUTS = ["request_id", "input", "model", "reasoning_effort", "web_search"]
+# So many answers of a task are handed on together.
+PIECE_ROWS = 64
 _SCHEMA_NOTE = "\nAnswer with one JSON object that follows this schema, and nothing else:\n"
 _RETRY_NOTE = "\nThe last answer did not follow the schema. Answer again with one complete JSON object."
 
@@ -35,26 +38,47 @@ class InvalidOutputError(ValueError):
     """No valid answer within the allowed tries."""
 
 
+# Where a response names the pages it rests on: what the item must be, the way to its nodes (None: each of a list),
+# and what the node must be. `operators.evidence.evidence_array` reads the same places as columns.
+_SEARCH = {"type": "web_search_call", "status": "completed"}
+_PLACES = (
+    (_SEARCH, ("action", "sources", None), {}),
+    (_SEARCH, ("action",), {"type": "open_page"}),
+    ({"type": "message"}, ("content", None, "annotations", None), {"type": "url_citation"}),
+)
+
+
+def _nodes(start: object, way: tuple) -> Iterator[dict]:
+    """Objects at the end of a way; parts that are missing or of another kind lead nowhere."""
+    if not way:
+        return iter([start] if isinstance(start, dict) else [])
+    if way[0] is None:
+        return chain.from_iterable(_nodes(part, way[1:]) for part in start) if isinstance(start, list) else iter(())
+    return _nodes(start.get(way[0]), way[1:]) if isinstance(start, dict) else iter(())
+
+
+def _has(node: dict, wanted: dict) -> bool:
+    return wanted.items() <= {key: node.get(key) for key in wanted}.items()
+
+
 def _evidence_of(response: dict) -> list[str]:
-    # The row-local twin of operators.evidence.evidence_array, for responses seen inside the call loop.
-    found: dict[str, None] = {}
-    for item in response.get("output") or ():
-        action = item.get("action") or {}
-        if item.get("type") == "web_search_call" and item.get("status") == "completed":
-            found.update((source.get("url"), None) for source in action.get("sources") or ())
-            if action.get("type") == "open_page":
-                found[action.get("url")] = None
-        if item.get("type") == "message":
-            notes = [note for part in item.get("content") or () for note in part.get("annotations") or ()]
-            found.update((note.get("url"), None) for note in notes if note.get("type") == "url_citation")
-    return [url for url in found if url]
+    """URLs that a response rests on, each once, item by item."""
+    urls = (
+        node.get("url")
+        for item in _nodes(response, ("output", None))
+        for conditions, way, wanted in _PLACES
+        if _has(item, conditions)
+        for node in _nodes(item, way)
+        if _has(node, wanted)
+    )
+    return list(dict.fromkeys(url for url in urls if isinstance(url, str) and url))
 
 
 def _text_of(response: dict) -> str:
     if response.get("output_text") is not None:
         return response["output_text"]
-    messages = (item for item in response.get("output") or () if item.get("type") == "message")
-    parts = (part for item in messages for part in item.get("content") or ())
+    messages = (item for item in _nodes(response, ("output", None)) if item.get("type") == "message")
+    parts = chain.from_iterable(_nodes(item, ("content", None)) for item in messages)
     return "".join(part.get("text") or "" for part in parts if part.get("type") == "output_text")
 
 
@@ -73,51 +97,56 @@ def batch_generate(
     seconds: at most twelve calls per row. Evidence is the union over all tries. A failed row carries the
     class name of its error and nothing else, since messages can hold secrets.
 
-    Calls are slow and rows are few, so requests are spread evenly by their unique id, sent in small Arrow
-    batches and overlap inside a task. After losing an executor a row may be called again: write the result
-    before using it twice.
+    Calls are slow, so requests are dealt by their unique id to `partitions` tasks (by default the larger of the
+    session's shuffle partitions and its cores), a stated number that adaptive execution does not merge. Calls overlap
+    inside a task and rows leave it in pieces of `PIECE_ROWS`. After losing an executor a row may be called again: write
+    the result before using it twice.
+
+    Whatever goes wrong with one row, a response that is no object included, is that row's error.
     """
     full = instructions + _SCHEMA_NOTE + json.dumps(shape.json_schema(), ensure_ascii=False)
 
-    def call_patiently(request: dict) -> tuple[dict, int]:
-        for attempt in range(TRANSPORT_TRIES):
-            try:
-                return call(request), attempt + 1
-            except TransientError as error:
-                if attempt == TRANSPORT_TRIES - 1:
-                    error.calls = attempt + 1
-                    raise
-                pause(2.0**attempt)
-        raise AssertionError
-
     def answer(row: dict) -> tuple:
-        evidence: dict[str, None] = {}
-        request = {**row, "instructions": full}
-        calls = 0
-        for attempt in range(1, OUTPUT_TRIES + 1):
-            try:
-                response, used = call_patiently(dict(request))
-            except Exception as error:  # one row's fault must not fail the task
-                calls += getattr(error, "calls", 1)
-                return row["request_id"], attempt, calls, None, sorted(evidence), type(error).__name__
-            calls += used
-            evidence.update((url, None) for url in _evidence_of(response))
-            text = _text_of(response)
-            if response.get("status") == "completed" and text_problem(shape, text) is None:
-                return row["request_id"], attempt, calls, text, sorted(evidence), None
-            request["instructions"] += _RETRY_NOTE
-        return row["request_id"], OUTPUT_TRIES, calls, None, sorted(evidence), InvalidOutputError.__name__
+        seen: dict[str, None] = {}
+        spent = {"attempts": 0, "calls": 0}
+
+        def result(text: str | None, error_type: str | None) -> tuple:
+            return row["request_id"], spent["attempts"], spent["calls"], text, sorted(seen), error_type
+
+        def response_to(request: dict) -> dict:
+            # One wait after each try but the last, twice as long each time.
+            for wait in [*(2.0**n for n in range(TRANSPORT_TRIES - 1)), None]:
+                spent["calls"] += 1
+                try:
+                    return call(dict(request))
+                except TransientError:
+                    if wait is None:
+                        raise
+                    pause(wait)
+
+        try:
+            for notes in range(OUTPUT_TRIES):
+                spent["attempts"] += 1
+                response = response_to({**row, "instructions": full + _RETRY_NOTE * notes})
+                seen.update(dict.fromkeys(_evidence_of(response)))
+                text = _text_of(response)
+                if response.get("status") == "completed" and text_problem(shape, text) is None:
+                    return result(text, None)
+        except Exception as error:  # one row's fault must not fail the task
+            return result(None, type(error).__name__)
+        return result(None, InvalidOutputError.__name__)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in RESULT_DDL.split(", ")]
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
             for batch in batches:
-                clean = batch.astype(object).where(batch.notna(), None)
-                yield pd.DataFrame(list(pool.map(answer, clean.to_dict("records"))), columns=names)
+                rows = batch.astype(object).where(batch.notna(), None).to_dict("records")
+                for start in range(0, len(rows), PIECE_ROWS):
+                    yield pd.DataFrame(list(pool.map(answer, rows[start : start + PIECE_ROWS])), columns=names)
 
-    rows = requests.select(*_INPUTS)
-    spread = rows.repartition(partitions, "request_id") if partitions else rows.repartition("request_id")
-    return spread.mapInPandas(run, RESULT_DDL)
+    session = requests.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return requests.select(*_INPUTS).repartition(partitions or tasks, "request_id").mapInPandas(run, RESULT_DDL)
 
 
 def failed_rows(results: DataFrame, requests: DataFrame, stage: str, subject: str) -> DataFrame:

@@ -20,21 +20,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from leadrank.session import cut_lineage
 
-GROUP = ["company_id", "trigger_type"]
-FINGERPRINT = [*GROUP, "fingerprint"]
-ARTICLE = [*GROUP, "article"]
+GROUP = ["company_id"]
+# A digest covers the type already, and two types can spell one digest; an article counts per type.
+FINGERPRINT = ["company_id", "fingerprint"]
+ARTICLE = ["company_id", "trigger_type", "article"]
+_ROW = ["company_id", "trigger_type", "fingerprint", "article", "ord"]
 _SCHEMA = "company_id long, trigger_type string, fingerprint string, article string, ord long"
 
 
 def _certain(edges: DataFrame) -> DataFrame:
     """Observations that are the earliest on both of their marks."""
     by_fingerprint = edges.groupBy(*FINGERPRINT).agg(
-        F.min_by("article", "ord").alias("article"), F.min("ord").alias("ord")
+        F.min_by(F.struct("trigger_type", "article"), "ord").alias("first"), F.min("ord").alias("ord")
     )
     by_article = edges.groupBy(*ARTICLE).agg(F.min("ord").alias("ord"))
-    return by_fingerprint.join(by_article, [*ARTICLE, "ord"], "left_semi").select(
-        *GROUP, "fingerprint", "article", "ord"
-    )
+    first = by_fingerprint.select("company_id", "fingerprint", "first.*", "ord")
+    return first.join(by_article, [*ARTICLE, "ord"], "left_semi").select(*_ROW)
 
 
 def _untouched(edges: DataFrame, kept: DataFrame) -> DataFrame:
@@ -46,9 +47,10 @@ def _untouched(edges: DataFrame, kept: DataFrame) -> DataFrame:
 def _finish_group(group: pd.DataFrame) -> pd.DataFrame:
     fingerprints, articles, kept = set(), set(), []
     for row in group.sort_values("ord").itertuples():
-        if row.fingerprint not in fingerprints and row.article not in articles:
+        article = (row.trigger_type, row.article)
+        if row.fingerprint not in fingerprints and article not in articles:
             fingerprints.add(row.fingerprint)
-            articles.add(row.article)
+            articles.add(article)
             kept.append(row.Index)
     return group.loc[kept]
 

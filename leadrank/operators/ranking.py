@@ -74,20 +74,25 @@ def compare_models(
 ) -> DataFrame:
     """Per model and prompt version: scores, mean total, ranked rows, rated ones, share of good ones.
 
-    `by` may name any column of the scores, for example one taken from a run's configuration.
+    `by` may name any column of the scores, for example one taken from a run's configuration. Only ranked rows meet the
+    ratings; all scores are summed where they are read, and both kinds of rows meet in one aggregation.
     """
-    ranked = F.col("selected_rank").between(1, k)
-    rated = ranked & F.col("rating_id").isNotNull()
-    good = F.count_if(ranked & (F.col("rating") == "good"))
+    ranked = scores.where(F.col("selected_rank").between(1, k))
+    votes = ratings_of(ranked, ratings).select(
+        *by, F.lit(True).alias("_vote"), F.lit(None).cast("double").alias("total_score"), "rating_id", "rating"
+    )
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in votes.dtypes[-2:]]
+    totals = scores.select(*by, F.lit(False).alias("_vote"), F.col("total_score").cast("double"), *nothing)
+    rated, good = F.count("rating_id"), F.count_if(F.col("rating") == "good")
     return (
-        ratings_of(scores, ratings)
+        totals.unionByName(votes)
         .groupBy(*by)
         .agg(
-            F.count(F.lit(1)).alias("scored"),
+            F.count_if(~F.col("_vote")).alias("scored"),
             F.avg("total_score").alias("mean_total"),
-            F.count_if(ranked).alias("ranked"),
-            F.count_if(rated).alias("rated"),
-            F.when(F.count_if(rated) > 0, good.cast("double") / F.count_if(rated)).alias("good_share"),
+            F.count_if("_vote").alias("ranked"),
+            rated.alias("rated"),
+            F.when(rated > 0, good.cast("double") / rated).alias("good_share"),
         )
     )
 

@@ -81,9 +81,13 @@ def report_entry(strategy_skipped: bool) -> Column:
 
 
 def strategies_of(ranked: DataFrame, strategies: DataFrame) -> DataFrame:
-    """Ranked rows with `strategy_json`, null where the generation failed or was skipped."""
-    content = strategies.select("run_id", "trigger_id", F.col("content_json").alias("strategy_json"))
-    return ranked.join(content, ["run_id", "trigger_id"], "left")
+    """Ranked rows with `strategy_json`, null where the generation failed or was skipped.
+
+    Ranked rows are few per run: their keys pick the strategies before the wide contents are shuffled.
+    """
+    keys = ["run_id", "trigger_id"]
+    content = strategies.select(*keys, F.col("content_json").alias("strategy_json"))
+    return ranked.join(content.join(ranked.select(*keys), keys, "left_semi"), keys, "left")
 
 
 def format_report(

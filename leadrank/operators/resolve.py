@@ -16,8 +16,8 @@ anything, and only within one normalized name. In one name, in arrival order:
   then on several companies lack a domain and everything makes a new company.
 
 So each outcome depends on the neighbour in arrival order and on two numbers per name. Both come from a
-two-level pass: names are cut into blocks of the arrival number, each with a bounded number of rows, and the
-blocks of a name are combined from one summary row each. One name holding a third of all rows is thus spread
+two-level pass: names are cut into blocks of the rank in arrival order, each with a bounded number of rows, and
+the blocks of a name are combined from one summary row each. Ranks are dense, whatever the arrival numbers are. One name holding a third of all rows is thus spread
 over many tasks.
 """
 
@@ -77,7 +77,7 @@ def _place_movers(movers: DataFrame, companies: DataFrame, width: int) -> DataFr
     block = ["normalized_name", "block"]
     in_block = Window.partitionBy(*block).orderBy("ord")
     placed = (
-        movers.withColumn("block", arrival_block("ord", width))
+        movers.withColumn("block", arrival_block("place", width))
         .withColumn("before_leads", F.lag("leads").over(in_block))
         .withColumn("before_ord", F.lag("ord").over(in_block))
         .withColumn("leads_so_far", F.sum(F.col("leads").cast("int")).over(in_block))
@@ -205,13 +205,10 @@ def resolve_companies(
     bare = narrow.where(F.col("domain").isNull()).select(
         "ord", "domain", "normalized_name", F.lit(False).alias("leads")
     )
-    placed = cut_lineage(_place_movers(leaders.unionByName(bare), companies, width))
+    movers = assign_ids(leaders.unionByName(bare), "ord", "place")
+    placed = cut_lineage(_place_movers(movers, companies, width))
     new_ids = assign_ids(
-        placed.where(F.col("creator_ord") == F.col("ord")).select("creator_ord"),
-        "creator_ord",
-        "new_id",
-        next_id_after,
-        width,
+        placed.where(F.col("creator_ord") == F.col("ord")).select("creator_ord"), "creator_ord", "new_id", next_id_after
     )
     # A company of a common name has many members. Rows of a stored company get a key of their own, since
     # rows without a key would all meet in one task.

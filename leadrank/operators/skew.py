@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key with more rows than this is spread; it takes one salt for every so many rows.
+# A key with more rows than this is spread; it takes one salt for every so many rows. At most one key per so many
+# rows can be hot, so the list of hot keys stays short enough to be broadcast: 100,000 entries for 10**11 rows.
 HOT_ROWS = 1_000_000
-# Only this many keys are treated as hot, so the list of them may be broadcast. A key further down holds less
-# than a thousandth of all rows.
-MAX_HOT_KEYS = 1000
 
 
 def salted_lookup(
@@ -19,12 +17,8 @@ def salted_lookup(
     Rows of a hot key are dealt out by a hash of their `unique` column; the one entry of the key is repeated
     for each salt. Results do not depend on which keys are hot.
     """
-    hot = (
-        entries.where(F.col("key_rows") > hot_rows)
-        .orderBy(F.desc("key_rows"))
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("key_rows") / hot_rows).cast("int").alias("_salts"))
-    )
+    salts = F.ceil(F.col("key_rows") / hot_rows).cast("int")
+    hot = entries.where(F.col("key_rows") > hot_rows).select(*keys, salts.alias("_salts"))
     salt = F.pmod(F.xxhash64(unique), F.col("_salts")).cast("int")
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
     every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)

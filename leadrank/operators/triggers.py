@@ -14,12 +14,12 @@ from leadrank.functions.text import (
     sorted_evidence,
     trigger_fingerprint,
 )
-from leadrank.operators.ids import BLOCK_WIDTH, assign_ids
-from leadrank.operators.matching import ARTICLE, FINGERPRINT, GROUP, first_come_matching
+from leadrank.operators.ids import assign_ids
+from leadrank.operators.matching import ARTICLE, FINGERPRINT, first_come_matching
 from leadrank.operators.skew import HOT_ROWS, salted_lookup
 from leadrank.session import cut_lineage
 
-_EDGE = [*GROUP, "fingerprint", "article"]
+_EDGE = ["company_id", "trigger_type", "fingerprint", "article"]
 
 
 def mark_triggers(resolved: DataFrame) -> DataFrame:
@@ -30,11 +30,12 @@ def mark_triggers(resolved: DataFrame) -> DataFrame:
     ).withColumn("article", canonical_url(drop_default_port(F.col("source_url"))))
 
 
-def _stored_marks(triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _stored_marks(triggers: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Marks of the stored triggers of `companies`; the rest of the history is filtered out first."""
     stored = triggers.select(
         "id", "company_id", "trigger_type", "fingerprint", F.col("source_url").alias("article")
-    )
-    by_fingerprint = stored.groupBy("company_id", "fingerprint").agg(F.min("id").alias("fingerprint_id"))
+    ).join(companies, "company_id", "left_semi")
+    by_fingerprint = stored.groupBy(*FINGERPRINT).agg(F.min("id").alias("fingerprint_id"))
     by_article = stored.groupBy(*ARTICLE).agg(F.min("id").alias("article_id"))
     return by_fingerprint, by_article
 
@@ -43,7 +44,6 @@ def dedup_triggers(
     resolved: DataFrame,
     triggers: DataFrame,
     next_id_after: int = 0,
-    width: int = BLOCK_WIDTH,
     group_limit: int = 200_000,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -57,15 +57,13 @@ def dedup_triggers(
     last lookup, where an edge with more than `hot_rows` copies is salted.
     """
     marked = mark_triggers(resolved)
-    edges = marked.groupBy(*_EDGE).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("key_rows"))
-    by_fingerprint, by_article = _stored_marks(triggers)
+    edges = cut_lineage(marked.groupBy(*_EDGE).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("key_rows")))
+    by_fingerprint, by_article = _stored_marks(triggers, edges.select("company_id").distinct())
     known = cut_lineage(
-        edges.join(by_fingerprint, ["company_id", "fingerprint"], "left").join(by_article, ARTICLE, "left")
+        edges.join(by_fingerprint, FINGERPRINT, "left").join(by_article, ARTICLE, "left")
     )
     free = known.where(F.col("fingerprint_id").isNull() & F.col("article_id").isNull())
-    kept = assign_ids(
-        first_come_matching(free.select(*_EDGE, "ord"), group_limit), "ord", "new_id", next_id_after, width
-    )
+    kept = assign_ids(first_come_matching(free.select(*_EDGE, "ord"), group_limit), "ord", "new_id", next_id_after)
     decided = (
         known.drop("ord")
         .join(

@@ -13,6 +13,7 @@ from leadrank.functions import records
 from leadrank.functions.scoring import evaluation_priority
 from leadrank.functions.text import canonical_url, redact
 from leadrank.operators import report
+from leadrank.operators.ids import assign_ids
 from leadrank.operators.inference import batch_generate, failed_rows
 from leadrank.operators.ranking import rank_scores
 from leadrank.operators.requests import (
@@ -27,7 +28,7 @@ from leadrank.operators.requests import (
     with_stage_config,
 )
 from leadrank.operators.resolve import company_snapshot, resolve_companies
-from leadrank.operators.runs import error_messages, run_summary
+from leadrank.operators.runs import run_summary
 from leadrank.operators.triggers import dedup_triggers, eligible_triggers, new_triggers
 from leadrank.operators.validation import (
     attempts_with_problem,
@@ -42,8 +43,7 @@ from leadrank.sources.tables import Store
 
 log = logging.getLogger(__name__)
 
-# Arrival numbers: a response holds at most ten candidates; the stages of a run follow each other.
-_ITEMS = 16
+# Places of errors: the stages of a run follow each other.
 _STAGE_ORDER = {"discovery": 0, "scoring": 1, "strategy": 2, "pipeline": 3}
 _STAGE_WIDTH = 1 << 50
 _ERRORS_DDL = "ord long, stage string, subject string, error_type string"
@@ -86,9 +86,9 @@ def run_batch(
     store = Store(spark, root)
     store.ensure_tables()
     if run_id is None:
-        run_id = store.next_id_after("runs", 1 << 60) + 1
+        run_id = store.new_run_id()
     config = run_config(settings, scoring_only, scoring_report, topics, replay)
-    job = _Run(store, settings, call, as_of, run_id, config, dict(inference), tuple(secrets))
+    job = _Run(store, settings, call, as_of, run_id, config, dict(inference), tuple(secrets), scoring_only)
     job.write_run_row("running")
     try:
         if call is None:
@@ -108,11 +108,13 @@ def run_batch(
 class _Run:
     """The steps of one run; each writes its result before the next one reads it."""
 
-    def __init__(self, store, settings, call, as_of, run_id, config, inference, secrets) -> None:
+    def __init__(self, store, settings, call, as_of, run_id, config, inference, secrets, quiet) -> None:
         self.store, self.settings, self.call, self.as_of = store, settings, call, as_of
         self.run_id, self.config, self.inference, self.secrets = run_id, config, inference, secrets
+        self.quiet = quiet  # no alert, as in scoring-only mode
         self.spark = store.spark
         self.errors: list[DataFrame] = []
+        self.observed = self.scored = None  # what the run has got to
 
     def empty(self, table: str) -> DataFrame:
         return self.spark.createDataFrame([], TABLES[table])
@@ -180,11 +182,14 @@ class _Run:
                 F.lit("ValueError").alias("error_type"),
             )
         )
-        accepted = reviewed.where(F.col("reject_reason").isNull()).select(
-            (F.col("topic_no") * _ITEMS + F.col("item_no")).alias("ord"),
-            "request_id",
-            "topic",
-            "candidate.*",
+        # Arrival numbers are unique whatever the topic numbers are: places in the order of topic, request and item.
+        places = assign_ids(
+            reviewed.where(F.col("reject_reason").isNull()).select("topic_no", "request_id", "item_no"),
+            ["topic_no", "request_id", "item_no"],
+            "ord",
+        )
+        accepted = reviewed.join(places, ["topic_no", "request_id", "item_no"]).select(
+            "ord", "request_id", "topic", "candidate.*"
         )
         # The job clock is authoritative; stamps written by a model are never trusted.
         accepted = accepted.withColumn("discovered_at", F.lit(self.as_of))
@@ -200,7 +205,7 @@ class _Run:
         resolved = self.stage(resolve_companies(candidates, companies, company_start), "resolved")
         self.store.write_run(company_snapshot(companies, resolved, self.as_of), "companies", self.run_id)
         trigger_start = self.store.next_id_after("triggers", self.run_id)
-        observed = self.stage(dedup_triggers(resolved, triggers, trigger_start), "observed")
+        observed = self.observed = self.stage(dedup_triggers(resolved, triggers, trigger_start), "observed")
         self.store.write_run(
             new_triggers(
                 observed,
@@ -241,7 +246,8 @@ class _Run:
                 "first_ord",
             )
         )
-        scored = self.stage(self.store.with_ids(evaluated, "research_scores", self.run_id, "first_ord"), "scored")
+        with_ids = self.store.with_ids(evaluated, "research_scores", self.run_id, "first_ord")
+        scored = self.scored = self.stage(with_ids, "scored")
         ranked = rank_scores(scored.drop("first_ord"), self.settings.top_candidates)
         self.store.write_run(ranked, "research_scores", self.run_id)
         return self.run_rows("research_scores")
@@ -293,7 +299,8 @@ class _Run:
                 for value in (stage, getattr(self.settings, f"{stage}_prompt_version"))
             ]
         )
-        stored = self.store.with_ids(rows, "processing_errors", self.run_id, "ord").select(
+        in_order = ["ord", "stage", "subject", "error_type"]
+        stored = self.store.with_ids(rows, "processing_errors", self.run_id, in_order).select(
             "id",
             F.lit(self.run_id).cast("long").alias("run_id"),
             "stage",
@@ -365,10 +372,19 @@ class _Run:
     def fail(self, error: Exception) -> RunResult:
         row = [(_STAGE_ORDER["pipeline"] * _STAGE_WIDTH, "pipeline", "run", type(error).__name__)]
         self.add_errors(self.spark.createDataFrame(row, _ERRORS_DDL))
-        errors = self.write_errors()
-        summary = error_messages(errors).withColumn("status", F.lit("failed"))
-        counts = {name: F.lit(0) for name in ("candidate_count", "scored_count", "strategy_count")}
-        alert = report.format_error_report(summary, summary.select("run_id", "error_message"))
-        self.write_report(alert.withColumn("part", F.lit(0)))
-        self.write_run_row("failed", summary.withColumns(counts))
+        run = F.lit(self.run_id).cast("long")
+        none = self.spark.createDataFrame([], "company_id long")
+        reached = [none if rows is None else rows for rows in (self.observed, self.scored)]
+        summary = self.stage(
+            run_summary(
+                self.spark.range(1).select(run.alias("run_id")),
+                *[rows.select("company_id", run.alias("run_id")) for rows in (*reached, none)],
+                self.write_errors(),
+            ),
+            "summary",
+        )
+        if not self.quiet:
+            alert = report.format_error_report(summary, summary.select("run_id", "error_message"))
+            self.write_report(alert.withColumn("part", F.lit(0)))
+        self.write_run_row("failed", summary)
         return RunResult(self.run_id, "failed")

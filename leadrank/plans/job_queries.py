@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadrank.functions import records
+from leadrank.operators.ids import assign_ids
 from leadrank.operators.inference import TransientError, batch_generate, failed_rows
 from leadrank.operators.report import split_messages
 from leadrank.operators.requests import Settings
@@ -38,7 +39,7 @@ def scripted_model():
         number = int(request["input"])
         page = f"https://e.example/{number}/{request['instructions'].count('The last answer')}"
         opened = {"type": "web_search_call", "status": "completed", "action": {"type": "open_page", "url": page}}
-        kind = number % 6
+        kind = number % 8
         if kind == 3:
             transport[request["input"]] = transport.get(request["input"], 0) + 1
             if transport[request["input"]] <= 2:
@@ -47,11 +48,13 @@ def scripted_model():
             raise PermissionError("a key that must not be stored")
         if kind == 5:
             raise TransientError
+        if kind == 6:
+            return None
         retried = "The last answer" in request["instructions"]
         valid = kind in (0, 3) or (kind == 1 and retried)
         return {
             "status": "completed",
-            "output_text": '{"candidates":[]}' if valid else "sorry",
+            "output_text": '{"candidates":[]}' if valid else "[" * 200_000 if kind == 7 else "sorry",
             "output": [opened],
         }
 
@@ -76,15 +79,16 @@ def _answers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    """WITH asked AS (SELECT c_custkey AS n, c_custkey % 6 AS kind FROM customer)
+    """WITH asked AS (SELECT c_custkey AS n, c_custkey % 8 AS kind FROM customer)
 SELECT 'customer-' || n AS request_id,
-       CAST(CASE kind WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END AS INTEGER) AS attempt_count,
-       CAST(CASE kind WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 5 THEN 4 ELSE 1 END AS INTEGER) AS call_count,
+       CAST(CASE WHEN kind = 1 THEN 2 WHEN kind IN (2, 7) THEN 3 ELSE 1 END AS INTEGER) AS attempt_count,
+       CAST(CASE WHEN kind = 1 THEN 2 WHEN kind IN (2, 3, 7) THEN 3 WHEN kind = 5 THEN 4 ELSE 1 END AS INTEGER) AS call_count,
        CASE WHEN kind IN (0, 1, 3) THEN '{"candidates":[]}' END AS text,
-       CASE WHEN kind IN (4, 5) THEN '' ELSE 'https://e.example/' || n || '/0' ||
-         CASE WHEN kind IN (1, 2) THEN ' https://e.example/' || n || '/1' ELSE '' END ||
-         CASE WHEN kind = 2 THEN ' https://e.example/' || n || '/2' ELSE '' END END AS evidence,
-       CASE kind WHEN 2 THEN 'InvalidOutputError' WHEN 4 THEN 'PermissionError' WHEN 5 THEN 'TransientError' END
+       CASE WHEN kind IN (4, 5, 6) THEN '' ELSE 'https://e.example/' || n || '/0' ||
+         CASE WHEN kind IN (1, 2, 7) THEN ' https://e.example/' || n || '/1' ELSE '' END ||
+         CASE WHEN kind IN (2, 7) THEN ' https://e.example/' || n || '/2' ELSE '' END END AS evidence,
+       CASE WHEN kind IN (2, 7) THEN 'InvalidOutputError' WHEN kind = 4 THEN 'PermissionError'
+         WHEN kind = 5 THEN 'TransientError' WHEN kind = 6 THEN 'AttributeError' END
          AS error_type
 FROM asked"""
 )
@@ -96,8 +100,8 @@ def generated_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """SELECT c_custkey AS ord, 'discovery' AS stage, c_name AS subject,
-  CASE c_custkey % 6 WHEN 2 THEN 'InvalidOutputError' WHEN 4 THEN 'PermissionError' ELSE 'TransientError' END
-    AS error_type FROM customer WHERE c_custkey % 6 IN (2, 4, 5)"""
+  CASE c_custkey % 8 WHEN 4 THEN 'PermissionError' WHEN 5 THEN 'TransientError' WHEN 6 THEN 'AttributeError'
+    ELSE 'InvalidOutputError' END AS error_type FROM customer WHERE c_custkey % 8 IN (2, 4, 5, 6, 7)"""
 )
 def isolated_errors(spark: SparkSession, folder: str) -> DataFrame:
     """B2: failed requests as error rows with the class of the error only."""
@@ -237,15 +241,18 @@ def _page_model():
     return call
 
 
-def page_response_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One recorded response per page that found one company: the page's host."""
+def page_response_lines(
+    spark: SparkSession, folder: str, title: Column | None = None, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """One recorded response per page that found one company: the page's host. It opened the page and `also` others."""
+    title = F.concat(F.lit("story "), F.length("url").cast("string")) if title is None else title
     host = F.regexp_extract("url", "^[^/]*//([^/]*)", 1)
     candidate = F.to_json(
         F.struct(
             host.alias("company_name"),
             F.col("url").alias("website"),
             F.lit("news").alias("trigger_type"),
-            F.concat(F.lit("story "), F.length("url").cast("string")).alias("trigger_title"),
+            title.alias("trigger_title"),
             F.lit("").alias("trigger_summary"),
             F.lit("2024-06-01").alias("published_at"),
             F.col("url").alias("source_url"),
@@ -254,16 +261,19 @@ def page_response_lines(spark: SparkSession, folder: str) -> DataFrame:
             F.lit("").alias("possible_video_need"),
         )
     )
-    opened = F.struct(
-        F.lit("web_search_call").alias("type"),
-        F.lit("completed").alias("status"),
-        F.struct(F.lit("open_page").alias("type"), F.col("url").alias("url")).alias("action"),
-    )
+    opened = [
+        F.struct(
+            F.lit("web_search_call").alias("type"),
+            F.lit("completed").alias("status"),
+            F.struct(F.lit("open_page").alias("type"), url.alias("url")).alias("action"),
+        )
+        for url in (*map(F.lit, also), F.col("url"))
+    ]
     response = F.to_json(
         F.struct(
             F.lit("completed").alias("status"),
             F.concat(F.lit('{"candidates":['), candidate, F.lit("]}")).alias("output_text"),
-            F.array(opened).alias("output"),
+            F.array(*opened).alias("output"),
         )
     )
     return table(spark, folder, "pages").select(
@@ -334,3 +344,66 @@ def _run_rows(store: Store) -> DataFrame:
         F.col("scored_count").cast("long").alias("scored_count"),
         F.col("strategy_count").cast("long").alias("strategy_count"),
     )
+
+
+_OPENED = ("https://zz.example/", "https://aa.example/")
+
+
+def _crowded_store(spark: SparkSession, folder: str) -> Store:
+    """A store after one run over files in which seven topics share all responses and every tenth line is broken."""
+    path = scratch_path(spark)
+    lines = page_response_lines(spark, folder, F.col("url"), _OPENED)
+    broken = F.concat(F.lit('{"topic": '), F.col("request_id"))
+    number = F.col("topic_no")
+    record = F.to_json(F.struct((number % 7).alias("topic_no"), "topic", "request_id", "attempt", "response"))
+    lines.select(F.when(number % 10 == 9, broken).otherwise(record).alias("value")).write.text(path)
+    store = Store(spark, scratch_path(spark))
+    model = _page_model()
+
+    def call(request: dict) -> dict:
+        return model({**request, "input": request["input"].replace("casino", "")})
+
+    responses = cut_lineage(read_responses(spark, path))
+    run_batch(spark, store.root, Settings(), call, _AS_OF, responses=responses, scoring_report=True)
+    return store
+
+
+@query(
+    f"""WITH {_SQL_RUN}
+SELECT 'company' AS kind, d AS name, count(DISTINCT regexp_replace(url, '#.*$', '')) AS n
+FROM host WHERE page_id % 10 <> 9 GROUP BY d
+UNION ALL SELECT 'discovery', 'InvalidOutputError', count(*) FROM host WHERE page_id % 10 = 9 HAVING count(*) > 0
+UNION ALL SELECT 'run', 'partial', 1"""
+)
+def crowded_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """S1 + I1: companies with their triggers, and the errors, of a run with many responses per topic and broken lines."""
+    store = _crowded_store(spark, folder)
+    triggers = store.read("triggers").groupBy(F.col("company_id").alias("id")).agg(F.count("*").alias("n"))
+    companies = store.read("companies").join(triggers, "id", "left")
+    errors = store.read("processing_errors").groupBy("stage", "error_type").agg(F.count("*").alias("n"))
+    return (
+        companies.select(F.lit("company").alias("kind"), F.col("website_domain").alias("name"), "n")
+        .union(errors.select("stage", "error_type", "n"))
+        .union(store.read("runs").select(F.lit("run"), "status", F.lit(1).cast("long")))
+    )
+
+
+@query(
+    f"""WITH {_SQL_RUN}, articles AS (
+  SELECT DISTINCT regexp_replace(url, '#.*$', '') AS article FROM host WHERE page_id % 10 <> 9)
+SELECT article, array_to_string(list_sort([article, 'https://aa.example/', 'https://zz.example/']), ' ') AS evidence
+FROM articles"""
+)
+def stored_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored triggers with the sorted URLs of the pages that their response opened."""
+    triggers = _crowded_store(spark, folder).read("triggers")
+    return triggers.select(F.col("source_url").alias("article"), F.array_join("evidence_urls", " ").alias("evidence"))
+
+
+@query(
+    """SELECT CAST(row_number() OVER (ORDER BY lang, doc_id) AS BIGINT) AS ord, lang AS topic, doc_id FROM documents"""
+)
+def united_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidates of all topics as one list, topic after topic."""
+    found = table(spark, folder, "documents").select(F.col("lang").alias("topic"), "doc_id")
+    return assign_ids(found, ["topic", "doc_id"], "ord")

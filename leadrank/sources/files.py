@@ -11,8 +11,6 @@ from leadrank.functions.text import redact
 from leadrank.operators.validation import validate_candidates
 from leadrank.schemas import TABLES
 
-RESPONSES_DDL = "topic_no long, topic string, request_id string, attempt int, response string"
-
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Raw model responses from JSON lines with topic_no, topic, request_id, attempt and response.
@@ -20,14 +18,24 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     `response` may be a JSON object or a text holding one; both arrive as text and are parsed later, so a
     malformed response is a row with a fault instead of a failed read.
     """
-    lines = spark.read.text(path)
+    return responses_of(spark.read.text(path))
+
+
+def responses_of(lines: DataFrame) -> DataFrame:
+    """Responses from lines of text, `value`, one row for every line that is not blank.
+
+    A line that is no JSON, or that names no request, becomes a request of its own, named after file and line, without a
+    response: it fails like any other unusable response, under the file's name as topic.
+    """
     parsed = F.try_parse_json(F.col("value"))
     field = lambda name, kind: F.try_variant_get(parsed, f"$.{name}", kind)
-    return lines.select(
-        field("topic_no", "long").alias("topic_no"),
-        field("topic", "string").alias("topic"),
-        field("request_id", "string").alias("request_id"),
-        field("attempt", "int").alias("attempt"),
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    unread = F.concat(F.lit("unreadable-"), F.sha2(F.concat_ws("|", F.input_file_name(), "value"), 256))
+    return lines.where(F.trim("value") != "").select(
+        F.coalesce(field("topic_no", "long"), F.lit(0)).alias("topic_no"),
+        F.coalesce(field("topic", "string"), file).alias("topic"),
+        F.coalesce(field("request_id", "string"), unread).alias("request_id"),
+        F.coalesce(field("attempt", "int"), F.lit(0)).alias("attempt"),
         field("response", "string").alias("response"),
     )
 

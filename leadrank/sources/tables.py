@@ -32,11 +32,13 @@ class Store:
         files, location = self._files(path)
         return files.exists(location)
 
+    def _names_in(self, table: str) -> list[str]:
+        files, location = self._files(self.path(table))
+        return [status.getPath().getName() for status in files.listStatus(location)]
+
     def _runs_in(self, table: str) -> list[int]:
         """Runs with a complete folder in a table; one folder per run, so the list stays short."""
-        files, location = self._files(self.path(table))
-        names = [status.getPath().getName() for status in files.listStatus(location)]
-        runs = [int(name.split("=")[1]) for name in names if name.startswith("run_id=")]
+        runs = [int(name.split("=")[1]) for name in self._names_in(table) if name.startswith("run_id=")]
         return [run for run in runs if self.exists(f"{self.path(table)}/run_id={run}/_SUCCESS")]
 
     def ensure_tables(self) -> None:
@@ -76,7 +78,23 @@ class Store:
     def next_id_after(self, table: str, before_run: int) -> int:
         return max_id(self.read(table, before_run))
 
-    def with_ids(self, rows: DataFrame, table: str, run_id: int, order: str) -> DataFrame:
+    def new_run_id(self) -> int:
+        """An id above those of all runs begun or allotted; one job writes to a store at a time."""
+        begun = [int(name.split("=")[1]) for name in self._names_in("runs") if name.startswith("run_id=")]
+        allotted = 0
+        if self.exists(f"{self.root}/batches"):
+            batches = self.spark.read.schema("run_id long").json(f"{self.root}/batches/*")
+            allotted = batches.agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0]
+        return max([allotted, *begun]) + 1
+
+    def run_of_batch(self, stream: str, batch: int) -> int:
+        """The run id of a batch of a stream: allotted when the batch is first seen, the same one when it is repeated."""
+        path = f"{self.root}/batches/{stream}-{batch}"
+        if not self.exists(f"{path}/_SUCCESS"):
+            self.spark.createDataFrame([(self.new_run_id(),)], "run_id long").write.mode("overwrite").json(path)
+        return self.spark.read.schema("run_id long").json(path).first()["run_id"]
+
+    def with_ids(self, rows: DataFrame, table: str, run_id: int, order: str | list[str]) -> DataFrame:
         """Rows with ids that continue those of earlier runs, in the order of `order`."""
         return assign_ids(rows, order, "id", self.next_id_after(table, run_id))
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadrank.operators.requests import Settings
 from leadrank.plans.daily import run_batch
-from leadrank.sources.files import RESPONSES_DDL
+from leadrank.session import cut_lineage
+from leadrank.sources.files import responses_of
 from leadrank.sources.tables import Store
 
 
@@ -25,22 +26,32 @@ def run_available(
 ) -> None:
     """One run per batch of newly arrived response files, then stop.
 
-    Files hold JSON lines with the columns of `RESPONSES_DDL`. Each batch is one run, with the batch number as
-    run id: a batch that is repeated after a lost driver replaces its own rows and starts from the state
-    before it, so nothing is counted twice.
+    Files hold JSON lines as `read_responses` takes them. Each batch is one run with an id of its own, above those of all
+    runs in the store; the store keeps which one. A batch that is repeated after a lost driver gets the same id again,
+    replaces its own rows and starts from the state before it, so nothing is counted twice. A stream whose checkpoint is
+    lost counts as a new one: it makes new runs and touches no old one.
     """
-    reader = spark.readStream.schema(RESPONSES_DDL)
+    reader = spark.readStream
     if files_per_run is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_run)
     store = Store(spark, root)
+    store.ensure_tables()
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        (stream,) = spark.read.text(f"{store.root}/arrivals/metadata").select(F.get_json_object("value", "$.id")).first()
         run_batch(
-            spark, store.root, settings, call, clock(), responses=batch, run_id=batch_id + 1, **options
+            spark,
+            store.root,
+            settings,
+            call,
+            clock(),
+            responses=cut_lineage(responses_of(batch)),
+            run_id=store.run_of_batch(stream, batch_id),
+            **options,
         )
 
     (
-        reader.json(arrivals)
+        reader.text(arrivals)
         .writeStream.foreachBatch(run)
         .option("checkpointLocation", f"{store.root}/arrivals")
         .trigger(availableNow=True)

@@ -150,7 +150,7 @@ def test_dedup_equals_the_rule(spark, as_of, group_limit, hot_rows):
                 history.append((company, kind, title, url))
         rows += [(company, rng.choice("xy"), rng.choice(titles), rng.choice(urls)) for _ in range(rng.randint(1, 14))]
     rng.shuffle(rows)
-    check_triggers(spark, as_of, rows, history, group_limit=group_limit, width=100, hot_rows=hot_rows)
+    check_triggers(spark, as_of, rows, history, group_limit=group_limit, hot_rows=hot_rows)
 
 
 def test_dropped_rows_do_not_extend_the_match(spark, as_of):
@@ -160,13 +160,24 @@ def test_dropped_rows_do_not_extend_the_match(spark, as_of):
 
 
 def test_ids_follow_arrival_order(spark):
-    orders = [5, 900, 7, 10**12, 31, 6]
-    rows = spark.createDataFrame([(value,) for value in orders], "ord long").repartition(3)
-    for width in (1, 10, 1 << 18):
-        ids = {row.ord: row.id for row in assign_ids(rows, "ord", "id", 40, width).collect()}
+    hashed = [(n * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for n in range(1, 3000)]
+    for orders in ([5, 900, 7, 10**12, 31, 6], hashed, []):
+        rows = spark.createDataFrame([(value,) for value in orders], "ord long").repartition(3)
+        ids = {row.ord: row.id for row in assign_ids(rows, "ord", "id", 40).collect()}
         assert ids == {value: 41 + i for i, value in enumerate(sorted(orders))}
 
 
+def test_ids_follow_several_columns(spark):
+    rows = spark.createDataFrame([(2, "a"), (1, "b"), (1, "a")], "topic_no long, request_id string").repartition(2)
+    found = assign_ids(rows, ["topic_no", "request_id"], "ord").orderBy("ord").collect()
+    assert [(row.topic_no, row.request_id) for row in found] == [(1, "a"), (1, "b"), (2, "a")]
+
+
+def test_a_digest_that_two_types_spell_is_one_trigger(spark, as_of):
+    u = "https://u.example/"
+    check_triggers(spark, as_of, [(1, "a|b", "c", u + "1"), (1, "a", "b|c", u + "2"), (1, "a", "d", u + "1")], [])
+
+
 def test_last_payload_is_scored(spark):
     observed = spark.createDataFrame(
         [(1, 7, "first"), (2, 8, "scored"), (5, 7, "last")], "ord long, trigger_id long, payload string"

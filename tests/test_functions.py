@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def test_normalize_name(spark):
     names = ["株式会社 ABC", "ＡＢＣ株式会社", "株式 会社X", "㈱X（有）", "Straße　 GmbH", "a B\tc\x1fd", "", None]
     expected = ["abc", "abc", "株式会社x", "x", "strassegmbh", "abcd", "", None]
     assert column(spark, names, text.normalize_name) == expected
-    assert [text.plain_normalize_name(name) for name in names[:-1]] == expected[:-1]
+    assert list(text.fold_names(pd.Series(names[:-1]))) == expected[:-1]
 
 
 def test_website_domain(spark):

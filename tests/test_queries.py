@@ -9,7 +9,7 @@ from tests.conftest import TEST_DATA
 from tests.oracle import compare, connect
 
 FOLDER = f"{TEST_DATA}/sf0.001"
-SLOW = {"two_runs", "arriving_runs"}  # their plans run in test_daily
+SLOW = {"two_runs", "arriving_runs", "stored_evidence"}  # their plans run in test_daily
 
 
 @pytest.fixture(scope="module")
