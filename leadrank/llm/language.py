@@ -57,18 +57,20 @@ def profile(text: str) -> np.ndarray:
 def codewords(languages: int) -> np.ndarray:
     """A row of -1 and +1 per language; columns tell some languages from the others, rows lie far apart.
 
-    Up to six languages get every way to split them. More get the columns, of a fixed pseudo-random sequence, in the
+    Less than two languages need no column; up to six get every way to split them. More get the columns, of a fixed pseudo-random sequence, in the
     draw out of 50 whose closest rows are farthest apart.
     """
+    if languages < 2:
+        return np.zeros((languages, 0), np.int8)
     if languages <= 6:
-        splits = list(itertools.product((-1, 1), repeat=max(0, languages - 1)))
+        splits = list(itertools.product((-1, 1), repeat=languages - 1))
         return np.array([[1, *split] for split in splits if -1 in split], np.int8).reshape(-1, languages).T
     bits = 10 * (languages - 1).bit_length()
     best, widest = None, -1
     for draw in range(50):
         stream = b"".join(hashlib.sha256(f"{draw}/{n}".encode()).digest() for n in range(languages * bits // 256 + 1))
         code = np.unpackbits(np.frombuffer(stream, np.uint8))[: languages * bits].reshape(languages, bits).astype(np.int8) * 2 - 1
-        code = code[:, np.abs(code.sum(axis=1 - 1)) < languages]
+        code = code[:, np.abs(code.sum(axis=0)) < languages]
         apart = min(int((a != b).sum()) for a, b in itertools.combinations(code, 2))
         if apart > widest:
             best, widest = code, apart

@@ -108,13 +108,11 @@ def with_next(docs: DataFrame, key: str, text: str, payload: list[str], group_ro
         """Adds the group, `range_no` and `part_no`, both in the order of the keys."""
         at = F.coalesce(id_.cast("double"), F.lit(float(most + 1))) + tie_
         df = df.withColumn("place", at)
-        return df.withColumn("range_no", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("place")))).withColumn(
-            "part_no",
-            _let(
-                F.struct(*[F.element_at(F.array(*[F.lit(e) for e in edges[n:len(edges) - 1 + n]]), F.col("range_no") + 1).alias(name) for n, name in enumerate(("low", "high"))]),
-                lambda e: F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("place") - e["low"]) / F.greatest(e["high"] - e["low"], F.lit(1e-9)) * parts).cast("int"))),
-            ),
-        )
+        passed = F.filter(F.array(*[F.lit(edge) for edge in edges[:-1]]), lambda edge: edge <= F.col("place"))
+        df = df.withColumn("range_no", F.greatest(F.size(passed) - 1, F.lit(0)))
+        low, high = (F.get(F.array(*[F.lit(edge) for edge in edges]), F.col("range_no") + n) for n in (0, 1))
+        part = F.floor((F.col("place") - low) / F.greatest(high - low, F.lit(1e-9)) * parts)
+        return df.withColumn("part_no", F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1)).cast("int"))
 
     ranges = max(1, min(MAX_BOUNDS, -(-count // group_rows)))
     parts = max(1, -(-count // (ranges * group_rows)))
@@ -123,7 +121,6 @@ def with_next(docs: DataFrame, key: str, text: str, payload: list[str], group_ro
         places = narrow.select((F.coalesce(F.col("id").cast("double"), F.lit(float(most + 1))) + F.col("tie")).alias("place"))
         cuts = places.approxQuantile("place", [n / ranges for n in range(1, ranges)], 0.2 / ranges)
         edges = sorted({edges[0], *cuts, edges[1]})
-    bounds = edges[1:-1] or [edges[-1]]
     rank = lambda id_, tie_: F.struct(id_.isNull().alias("last"), id_.alias("id"), tie_.alias("tie"))
     firsts = placed(narrow, F.col("id"), F.col("tie")).groupBy("range_no", "part_no").agg(
         F.min(rank(F.col("id"), F.col("tie"))).alias("first_rank")

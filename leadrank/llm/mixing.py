@@ -125,12 +125,13 @@ def thresholds(
 def apply_thresholds(units: DataFrame, limits: DataFrame, source: str = "source") -> DataFrame:
     """Adds `source_size`, `target` and `taken`, the words that the mix takes of a row, repeats counted."""
     names = [name for name in without(units, COLUMNS[1:]).columns if name != "mix_hash"]
-    copies = F.col("rounds") + F.when(F.col("mix_hash") <= F.col("upto"), 1).otherwise(0)
-    rows = without(units, COLUMNS[1:]).withColumn("source_key", _source_key(source))
-    return rows.join(limits, "source_key").select(
+    copies = F.col("__mix_rounds") + F.when(F.col("mix_hash") <= F.col("__mix_upto"), 1).otherwise(0)
+    limits = limits.select(*[F.col(name).alias(f"__mix_{name}") for name in limits.columns])
+    rows = without(units, COLUMNS[1:]).withColumn("__mix_source_key", _source_key(source))
+    return rows.join(limits, "__mix_source_key").select(
         *[F.col(f"`{name}`") for name in names],
-        "source_size",
-        "target",
+        F.col("__mix_source_size").alias("source_size"),
+        F.col("__mix_target").alias("target"),
         (copies * F.col("size")).cast("long").alias("taken"),
     )
 

@@ -250,9 +250,9 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", group_lim
     rows = cut_lineage(docs.select(fingerprints(text).alias("fp"), rank.alias("rank")))
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("rank").alias("first_id"), F.count("*").alias("rows")))
     chosen = cut_lineage(classes(prints.select("fp", "first_id"), group_limit).select(F.col("component_id").alias("rank")).distinct())
-    copies = cut_lineage(rows.join(chosen, "rank").groupBy("rank").agg(F.count("*").alias("copies")))
+    copies = cut_lineage(rows.join(chosen, "rank").groupBy("rank").agg(F.count("*").alias("__copies")))
     marked = docs.withColumn("__rank", rank).join(copies.withColumnRenamed("rank", "__rank"), "__rank")
-    kept = marked.where("copies = 1").select(*names)
-    if copies.where("copies > 1").isEmpty():
+    kept = marked.where("__copies = 1").select(*names)
+    if copies.where("__copies > 1").isEmpty():
         return kept
-    return kept.union(marked.where("copies > 1").select(*names).dropDuplicates())
+    return kept.union(marked.where("__copies > 1").select(*names).dropDuplicates())
