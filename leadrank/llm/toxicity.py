@@ -23,7 +23,7 @@ SAMPLE_ROWS = 8000
 FEATURES = 2048
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6)
-RIDGE = 1e-4
+RIDGE = 1e-5
 FAIRNESS = 1.0
 STEPS = 400
 CACHED_WORDS = 500_000
