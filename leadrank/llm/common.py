@@ -22,9 +22,3 @@ def text_key(text: Column | str) -> Column:
     """A 128-bit name of a text; null and the empty text share one."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return F.md5(text.cast("binary"))
-
-
-def spread(df: DataFrame, tasks_per_core: int = 4) -> DataFrame:
-    """Deals a table with fewer splits than cores out to several tasks a core; larger ones stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * tasks_per_core) if df.rdd.getNumPartitions() < cores else df

@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import pytest
 
@@ -13,6 +14,12 @@ from tests.oracle import connect, normal
 FOLDER = f"{TEST_DATA}/sf0.001"
 
 
+def test_no_machine_bound_calls():
+    root = Path(__file__).parent.parent.parent
+    source = "\n".join(path.read_text() for path in [*root.glob("leadrank/llm/*.py"), root / "corpus_pipeline.py"])
+    assert not re.search(r"localCheckpoint|crossJoin|\.rdd\b|tempfile|dropDuplicates\(\)\.limit", source)
+
+
 def test_all_queries_are_registered():
     named = contract.queries()
     numbers = {int(m[1]) for name in named if (m := re.match(r"op(\d+)_", name))}
