@@ -84,10 +84,13 @@ def read_ratings(spark: SparkSession, path: str, kind: str = "parquet") -> DataF
 
 
 def write_report(chunks: DataFrame, path: str, secrets: Iterable[str] = ()) -> None:
-    """Report pieces as text, in order, one folder per run. `chunks`: run_id, chunk_no, chunk."""
+    """Report pieces as text, one folder per run. `chunks`: run_id, chunk_no, chunk.
+
+    Pieces are dealt out by range, so a long report is several files, whose names follow its order; a short one is one.
+    """
     safe = chunks.withColumn("chunk", redact(F.col("chunk"), secrets))
     (
-        safe.repartition("run_id")
+        safe.repartitionByRange("run_id", "chunk_no")
         .sortWithinPartitions("run_id", "chunk_no")
         .select("run_id", "chunk")
         .write.mode("overwrite")

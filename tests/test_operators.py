@@ -7,6 +7,7 @@ from leadrank.functions import records
 from leadrank.operators import evidence as ev, ranking, report, runs
 from leadrank.operators.inference import TransientError, batch_generate
 from leadrank.operators.validation import review_candidates
+from leadrank.sources.files import write_report
 from tests.samples import completed
 
 
@@ -153,3 +154,16 @@ def test_split_messages(spark):
     assert "".join(row.chunk for row in pieces) == "日本語🙂" * 1600
     assert {row.run_id for row in pieces} == {1}
     assert texts.where(F.length("report") == 0).count() == 1
+
+
+def test_long_reports_are_ordered_files(spark, tmp_path):
+    chunks = spark.range(3000).selectExpr("id % 2 as run_id", "id as chunk_no", "concat('line ', id) as chunk").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_report(chunks, str(tmp_path / "reports"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for run in (0, 1):
+        files = sorted((tmp_path / "reports" / f"run_id={run}").glob("part-*"))
+        lines = [line for file in files for line in file.read_text().splitlines()]
+        assert len(files) > 1 and lines == [f"line {n}" for n in range(run, 3000, 2)]
