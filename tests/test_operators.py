@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from leadrank.functions import records
 from leadrank.operators import evidence as ev, ranking, report, runs
 from leadrank.operators.inference import TransientError, batch_generate
-from leadrank.operators.validation import review_candidates
+from leadrank.operators.validation import review_candidates, validate_candidates
 from leadrank.sources.files import write_report
 from tests.samples import completed
 
@@ -167,3 +167,29 @@ def test_long_reports_are_ordered_files(spark, tmp_path):
         files = sorted((tmp_path / "reports" / f"run_id={run}").glob("part-*"))
         lines = [line for file in files for line in file.read_text().splitlines()]
         assert len(files) > 1 and lines == [f"line {n}" for n in range(run, 3000, 2)]
+
+
+def test_calls_are_spread_and_faults_stay_in_their_rows(spark):
+    def call(request):
+        kind = int(request["input"]) % 4
+        text = ['{"candidates":[]}', "[" * 100_000, '{"candidates":[],"candidates":[]}'][kind] if kind < 3 else ""
+        return None if kind == 3 else {"status": "completed", "output_text": text, "output": [7, {"type": "message", "content": 5}]}
+
+    asked = spark.range(40).selectExpr(
+        "cast(id as string) as request_id", "cast(id as string) as input", "'m' as model",
+        "cast(null as string) as reasoning_effort", "true as web_search",
+    )
+    answers = batch_generate(asked.coalesce(1), call, records.DISCOVERY, pause=lambda seconds: None)
+    rows = answers.withColumn("task", F.spark_partition_id()).collect()
+    assert len({row.task for row in rows}) > 1
+    expected = [None, "InvalidOutputError", "InvalidOutputError", "AttributeError"]
+    assert all(row.error_type == expected[int(row.request_id) % 4] for row in rows) and len(rows) == 40
+
+
+def test_dates_end_where_they_end(spark, candidate):
+    items = [{**candidate, "published_at": day} for day in ("2024-01-01", "2024-01-01\n", "2024-01-01 ", "2024-13-01")]
+    frame = spark.createDataFrame([(n, json.dumps(item)) for n, item in enumerate(items)], "n long, item string")
+    found = {row.n: row.reject_reason for row in validate_candidates(frame).collect()}
+    assert [found[n] is None for n in range(4)] == [True, False, False, False]
+    plain = [records.CANDIDATE.problem(item) for item in items]
+    assert [problem is None for problem in plain] == [True, False, False, False]
