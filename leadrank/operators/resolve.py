@@ -249,9 +249,16 @@ def _handle(domain: Column, order: Column) -> Column:
 
 
 def company_snapshot(companies: DataFrame, resolved: DataFrame, as_of: datetime) -> DataFrame:
-    """Stored companies after a run: new ones added, domains filled in once, last sighting moved.
+    """All companies after a run: those it did not see as they were, the others as `company_changes` has them."""
+    changes = cut_lineage(company_changes(companies, resolved, as_of))
+    return companies.join(changes.select("id"), "id", "left_anti").unionByName(changes)
 
-    Name and location keep their first value. The result is a new snapshot; nothing is updated in place.
+
+def company_changes(companies: DataFrame, resolved: DataFrame, as_of: datetime) -> DataFrame:
+    """The companies that a run saw, as they are after it: new ones, domains filled in once, last sighting moved.
+
+    Name and location keep their first value. Stored companies that the run did not see take no part beyond the join
+    with the few that it did.
     """
     now = F.lit(as_of)
     added = F.col("creates_company")
@@ -266,7 +273,11 @@ def company_snapshot(companies: DataFrame, resolved: DataFrame, as_of: datetime)
         F.max(F.when(added & F.col("domain").isNull(), F.col("website"))).alias("bare_website"),
     )
     fill = F.col("website_domain").isNull() & F.col("new_domain").isNotNull()
-    return companies.join(seen.withColumn("sighted", F.lit(True)), "id", "full").select(
+    seen = cut_lineage(seen)
+    known = companies.join(seen, "id")
+    # A company is new to the store if a candidate of this run made it.
+    new = seen.where(F.col("new_name").isNotNull()).join(companies.limit(0), "id", "left")
+    return known.unionByName(new).select(
         "id",
         F.coalesce("name", "new_name").alias("name"),
         F.coalesce("normalized_name", "new_normalized").alias("normalized_name"),
@@ -274,7 +285,5 @@ def company_snapshot(companies: DataFrame, resolved: DataFrame, as_of: datetime)
         F.coalesce("website_domain", "new_domain").alias("website_domain"),
         F.coalesce("location", "new_location").alias("location"),
         F.coalesce("first_seen_at", now).alias("first_seen_at"),
-        F.when(F.col("sighted"), F.greatest(F.coalesce("last_seen_at", now), now))
-        .otherwise(F.col("last_seen_at"))
-        .alias("last_seen_at"),
+        F.greatest(F.coalesce("last_seen_at", now), now).alias("last_seen_at"),
     )

@@ -27,7 +27,7 @@ from leadrank.operators.requests import (
     topics_table,
     with_stage_config,
 )
-from leadrank.operators.resolve import company_snapshot, resolve_companies
+from leadrank.operators.resolve import company_changes, resolve_companies
 from leadrank.operators.runs import run_summary
 from leadrank.operators.triggers import dedup_triggers, eligible_triggers, new_triggers
 from leadrank.operators.validation import (
@@ -199,11 +199,12 @@ class _Run:
 
     def observe(self, candidates: DataFrame, evidence: DataFrame) -> DataFrame:
         """Resolve companies and triggers, store the new ones, and give back all observations."""
+        self.store.compact_companies(self.run_id)
         companies = self.store.read("companies", self.run_id)
         triggers = self.store.read("triggers", self.run_id)
         company_start = self.store.next_id_after("companies", self.run_id)
         resolved = self.stage(resolve_companies(candidates, companies, company_start), "resolved")
-        self.store.write_run(company_snapshot(companies, resolved, self.as_of), "companies", self.run_id)
+        self.store.write_run(company_changes(companies, resolved, self.as_of), "companies", self.run_id)
         trigger_start = self.store.next_id_after("triggers", self.run_id)
         observed = self.observed = self.stage(dedup_triggers(resolved, triggers, trigger_start), "observed")
         self.store.write_run(

@@ -1,18 +1,25 @@
 """The stored tables: Parquet folders under one root.
 
 Rows of a run live in `<table>/run_id=<n>`, so filters on the run prune folders and a repeated run replaces
-exactly its own rows. Companies change over time without MERGE: each run writes a complete new snapshot and
-reads the one before; a path is never overwritten while it is being read.
+exactly its own rows. Companies change over time without MERGE: each run writes the companies that it saw, and a
+reader takes the latest row of each. Every so many runs the state before a run is written whole, so that readers
+need not go further back. A path is never overwritten while it is being read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from leadrank.operators.ids import assign_ids, max_id
 from leadrank.schemas import RUN_SCOPED, TABLES
 
 
+# So many runs may follow the last whole state of the companies.
+COMPACT_AFTER = 32
+
+
 class Store:
     """Tables under `root`, any path Hadoop file systems can reach."""
 
@@ -34,6 +41,8 @@ class Store:
 
     def _names_in(self, table: str) -> list[str]:
         files, location = self._files(self.path(table))
+        if not files.exists(location):
+            return []
         return [status.getPath().getName() for status in files.listStatus(location)]
 
     def _runs_in(self, table: str) -> list[int]:
@@ -59,16 +68,37 @@ class Store:
             stored = stored.where(F.col("run_id") < before_run)
         return stored.select(*T.StructType.fromDDL(ddl).names)
 
+    def _company_parts(self, before_run: int | None) -> list[DataFrame]:
+        """The last whole state of the companies and what later runs wrote, each with the run as `run_id`."""
+        allowed = lambda run: before_run is None or run < before_run
+        whole = max(filter(allowed, self._runs_in("companies_whole")), default=None)
+        later = [run for run in self._runs_in("companies") if allowed(run) and (whole is None or run > whole)]
+        found = [("companies", run) for run in later] + ([] if whole is None else [("companies_whole", whole)])
+        read = self.spark.read.schema(TABLES["companies"])
+        return [read.parquet(f"{self.path(t)}/run_id={run}").withColumn("run_id", F.lit(run)) for t, run in found]
+
     def _companies(self, before_run: int | None) -> DataFrame:
-        runs = [run for run in self._runs_in("companies") if before_run is None or run < before_run]
-        if not runs:
+        parts = self._company_parts(before_run)
+        names = T.StructType.fromDDL(TABLES["companies"]).names
+        if not parts:
             return self.spark.createDataFrame([], TABLES["companies"])
-        return self.spark.read.schema(TABLES["companies"]).parquet(
-            f"{self.path('companies')}/run_id={max(runs)}"
-        )
+        if len(parts) == 1:
+            return parts[0].select(*names)
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.groupBy("id").agg(F.max_by(F.struct(*names), "run_id").alias("row")).select("row.*")
+
+    def compact_companies(self, run_id: int, after: int = COMPACT_AFTER) -> None:
+        """Before run `run_id`: write the companies whole if more than `after` runs have followed the last time."""
+        if len(self._company_parts(run_id)) > after:
+            last = max(run for run in self._runs_in("companies") if run < run_id)
+            self._companies(run_id).write.mode("overwrite").parquet(f"{self.path('companies_whole')}/run_id={last}")
 
     def write_run(self, rows: DataFrame, table: str, run_id: int) -> None:
-        """Write the rows of one run; a repeated run replaces them."""
+        """Write the rows of one run; a repeated run replaces them, and whole states that came after it are dropped."""
+        if table == "companies":
+            for later in (run for run in self._runs_in("companies_whole") if run >= run_id):
+                files, location = self._files(f"{self.path('companies_whole')}/run_id={later}")
+                files.delete(location, True)
         rows.drop("run_id").write.mode("overwrite").parquet(f"{self.path(table)}/run_id={run_id}")
 
     def append_table(self, rows: DataFrame, table: str) -> None:
