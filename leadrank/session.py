@@ -35,11 +35,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's `spark.checkpoint.dir`.
+    """The folder every executor can reach: the session's `spark.checkpoint.dir`, or the one set on its context.
 
     Only a local session without that setting gets a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
