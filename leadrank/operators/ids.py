@@ -38,6 +38,27 @@ def assign_ids(rows: DataFrame, order: str | list[str], id_column: str, start: i
     )
 
 
+def rank_places(rows: DataFrame, place: str, id_column: str, start: int = 0, width: int = BLOCK_WIDTH) -> DataFrame:
+    """Adds ids start+1, start+2, ... in the order of `place`, a unique number up to the size of the table it is from.
+
+    Places are dense already, so blocks of them do for ranks; one row per block passes through the window without key.
+    """
+    blocked = rows.withColumn("_block", arrival_block(place, width))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        blocked.groupBy("_block")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    )
+    within = F.row_number().over(Window.partitionBy("_block").orderBy(place))
+    return (
+        blocked.withColumn("_rank", within)
+        .join(offsets, "_block")
+        .withColumn(id_column, (F.lit(start) + F.col("_offset") + F.col("_rank")).cast("long"))
+        .drop("_block", "_rank", "_offset")
+    )
+
+
 def max_id(table: DataFrame) -> int:
     """Highest id in use: one number, combined from the maxima of the map tasks."""
     return table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]

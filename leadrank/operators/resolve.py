@@ -28,7 +28,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leadrank.functions.text import normalize_name, website_domain
-from leadrank.operators.ids import BLOCK_WIDTH, arrival_block, assign_ids
+from leadrank.operators.ids import BLOCK_WIDTH, arrival_block, assign_ids, rank_places
 from leadrank.operators.skew import HOT_ROWS, salted_lookup
 from leadrank.session import cut_lineage
 
@@ -169,6 +169,7 @@ def _place_movers(movers: DataFrame, companies: DataFrame, width: int) -> DataFr
     )
     return rows.select(
         "ord",
+        "place",
         "domain",
         F.when(single & (F.col("total") == 1), F.col("only_id"))
         .when(joins & before_ord.isNull(), F.col("bare_id"))
@@ -207,9 +208,8 @@ def resolve_companies(
     )
     movers = assign_ids(leaders.unionByName(bare), "ord", "place")
     placed = cut_lineage(_place_movers(movers, companies, width))
-    new_ids = assign_ids(
-        placed.where(F.col("creator_ord") == F.col("ord")).select("creator_ord"), "creator_ord", "new_id", next_id_after
-    )
+    creators = placed.where(F.col("creator_ord") == F.col("ord")).select("creator_ord", "place")
+    new_ids = rank_places(creators, "place", "new_id", next_id_after, width).drop("place")
     # A company of a common name has many members. Rows of a stored company get a key of their own, since
     # rows without a key would all meet in one task.
     members = placed.groupBy("creator_ord").agg(F.count(F.lit(1)).alias("key_rows"))
