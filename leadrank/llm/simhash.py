@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from leadrank.llm.common import without
 from leadrank.llm.components import components
 from leadrank.session import cut_lineage
 
