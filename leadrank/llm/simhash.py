@@ -8,13 +8,13 @@ fingerprint goes to every anchor within that distance, 1 or 16 per block, and is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leadrank.llm.components import components
 from leadrank.session import cut_lineage
@@ -238,20 +238,25 @@ def simhash_components(
     return rows.join(found, "fp").select(F.col("doc_id").alias(key), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """`docs` with one row of each component of near-duplicates: the one with the smallest key, nulls last.
-
-    Rows that tie on the key are told apart by a hash of all their columns; of rows equal in every column one stays.
-    """
+def one_of_each(docs: DataFrame, key: str, fp: Column, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`docs` with one row of each class; `find` turns distinct `fp`, `first_id` into `fp`, `component_id`."""
     names = docs.columns
     content = F.xxhash64(*[F.col(f"`{name}`").cast("string") for name in names])
     rank = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), content.alias("content"))
-    rows = cut_lineage(docs.select(fingerprints(text).alias("fp"), rank.alias("rank")))
+    rows = cut_lineage(docs.select(fp.alias("fp"), rank.alias("rank")))
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("rank").alias("first_id"), F.count("*").alias("rows")))
-    chosen = cut_lineage(classes(prints.select("fp", "first_id"), group_limit).select(F.col("component_id").alias("rank")).distinct())
+    chosen = cut_lineage(find(prints.select("fp", "first_id")).select(F.col("component_id").alias("rank")).distinct())
     copies = cut_lineage(rows.join(chosen, "rank").groupBy("rank").agg(F.count("*").alias("__copies")))
     marked = docs.withColumn("__rank", rank).join(copies.withColumnRenamed("rank", "__rank"), "__rank")
     kept = marked.where("__copies = 1").select(*names)
     if copies.where("__copies > 1").isEmpty():
         return kept
     return kept.union(marked.where("__copies > 1").select(*names).dropDuplicates())
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """`docs` with one row of each component of near-duplicates: the one with the smallest key, nulls last.
+
+    Rows that tie on the key are told apart by a hash of all their columns; of rows equal in every column one stays.
+    """
+    return one_of_each(docs, key, fingerprints(text), lambda prints: classes(prints, group_limit))
