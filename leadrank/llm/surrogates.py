@@ -25,17 +25,18 @@ CYRILLIC_FEMALE = ("Алла", "Вера", "Галина", "Дарья", "Еле
 SYLLABLES = ("bar", "cor", "dal", "fen", "gol", "har", "jen", "kel", "lor", "mar", "nev", "pol", "ras", "sol", "tam", "ver")
 CYRILLIC_SYLLABLES = ("бар", "вел", "гор", "дан", "зим", "кол", "лар", "мир", "нев", "пол", "рос", "сол", "там", "фед", "хар", "шир")
 
-_NAME_WORD = r"\p{Lu}\p{Ll}{1,30}+(?:-\p{Lu}\p{Ll}{1,30}+)?"
+# A capital and all letters, marks, hyphens and apostrophes that follow it; at least one of them is a small letter.
+_NAME_WORD = r"\p{Lu}(?=[\p{L}\p{M}'’\-]*\p{Ll})(?:[\p{L}\p{M}]|['’\-](?=\p{L}))*+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@[A-Za-z0-9][A-Za-z0-9\-]{0,62}+(?:\.[A-Za-z0-9][A-Za-z0-9\-]{0,62}+){1,8}+",
-    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api[_\-]?key)[\x20\t]{0,3}+[:=][\x20\t]{0,3}+[\"']?+[A-Za-z0-9_\-+/.]{8,256}+",
+    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api[_\-]?key)[\x20\t]{0,3}+[:=][\x20\t]{0,3}+[\"']?+[A-Za-z0-9_\-+/.]{8,}+",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?\([0-9]{1,4}\)[ .\-]?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.?[\x20]{_NAME_WORD}(?:[\x20]{_NAME_WORD})?+",
+    "name": rf"(?<![\p{{L}}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.?[\x20]{_NAME_WORD}(?:[\x20]{_NAME_WORD})*+",
 }
 
 
@@ -256,6 +257,8 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     * Kinds: e-mail addresses, passwords and tokens behind their label, access keys, IBANs, IPv4 addresses, US social
       security numbers, phone numbers, card numbers with a valid check digit, names behind a title.
+    * Secrets are taken up to their last character, names over all capitalised words behind the title; a word in small
+      letters ("van") or an initial ends a name.
     * Null texts stay null with 0 entities; empty texts and texts without entities stay as they are. Repeated rows get
       equal texts. An empty table gives an empty one. A column `n_entities` of `docs` is replaced.
     """

@@ -61,3 +61,21 @@ def test_awkward_rows(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in rows))) == sorted(map(str, ((a[0], a[1]) for a in AWKWARD)))
     assert all(r.n_entities == 0 and r.tries == 1 for r in rows)
     assert surrogates.pseudonymized(nothing(spark), "k").count() == 0
+
+
+def test_entities_are_replaced_whole(spark):
+    long = "".join("abcXYZ0189"[n * 7 % 10] for n in range(1000))
+    rows = [
+        (1, "Frau Anna Maria Schmidt kam. Mr. John Ronald Reuel Tolkien left."),
+        (2, "Mr McDonald met Mr O'Brien, Mrs O’Neill-McKay and Ms D'Arcy's."),
+        (3, f"token={long} ends"),
+        (4, "Herr Wolfeschlegelsteinhausenbergerdorffwelche kam, Mr Smith WAS HERE"),
+    ]
+    found = replaced(spark, rows)
+    assert [found[n].n_entities for n in range(1, 5)] == [2, 4, 1, 2]
+    for word in "Anna Maria Schmidt John Ronald Reuel Tolkien Donald Brien Neill Kay Arcy dorffwelche Smith".split():
+        assert not any(word in row.text for row in found.values())
+    assert re.fullmatch(r"Frau \w+ \w+ kam\. Mr\. \w+ \w+ left\.", found[1].text)
+    new = re.fullmatch(r"token=([A-Za-z0-9]{1000}) ends", found[3].text)[1]
+    assert not any(new[at : at + 12] in long for at in range(0, 1000, 12))
+    assert found[4].text.endswith(" WAS HERE")
