@@ -52,6 +52,8 @@ ANY = "|".join(
         f"(?=[{''.join(sorted({title[0] for title in MALE_TITLES + FEMALE_TITLES}))}])" + _any_of("name"),
     )
 )
+# Country codes of phone numbers; those not listed with one or two digits have three.
+_COUNTRY_CODE = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 _SECRET_HEAD = r"""^([A-Za-z_\-]+[\x20\t]*[:=][\x20\t]*["']?)"""
 _TITLE = r"^([\p{L}]+\.?) "
 # From this try on a surrogate also grows, so that small formats never run out of values.
@@ -107,7 +109,8 @@ def _value(found: Column, kind: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(found))
         .when(kind == "secret", F.regexp_replace(found, _SECRET_HEAD, ""))
-        .when(kind.isin("phone", "card", "ssn"), _digits(found))
+        .when(kind == "phone", F.regexp_replace(found, r"[^0-9+]", ""))
+        .when(kind.isin("card", "ssn"), _digits(found))
         .when(kind == "iban", F.regexp_replace(found, " ", ""))
         .when(kind == "name", F.concat(_gender(found), F.lit(" "), F.lower(F.regexp_replace(found, _TITLE, ""))))
         .otherwise(found)
@@ -148,16 +151,16 @@ def _fill(shape: Column, stream: Column) -> Column:
     return F.array_join(chars, "")
 
 
-def _lay_out(shape: Column, digits: Column) -> Column:
-    """`digits` written into the places that digits have in `shape`."""
+def _lay_out(shape: Column, chars: Column, place: str = "^[0-9]$") -> Column:
+    """`chars` written into those places of `shape` that hold a digit, or whatever `place` matches."""
     start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"))
     done = F.aggregate(
         F.split(shape, ""),
         start,
         lambda state, c: F.when(
-            c.rlike("^[0-9]$"),
+            c.rlike(place),
             F.struct(
-                F.concat(state["text"], F.substr(digits, state["next"], F.lit(1))).alias("text"),
+                F.concat(state["text"], F.substr(chars, state["next"], F.lit(1))).alias("text"),
                 (state["next"] + 1).alias("next"),
             ),
         ).otherwise(F.struct(F.concat(state["text"], c).alias("text"), state["next"].alias("next"))),
@@ -190,11 +193,15 @@ def _by_kind(found: Column, entity: Column, tries: Column, kind: Column, stream:
     secret = F.concat(head, F.when(is_hex, hexed).otherwise(_fill(body, stream)), grown)
     digits = _digits(found)
     # A phone number keeps its country code, a card its first digit; the last digit of a card is its check.
-    country = F.when(kind == "phone", F.coalesce(F.regexp_extract(found, r"^\+([0-9]{1,3})(?![0-9])", 1), F.lit(""))).otherwise("")
-    phone = F.concat(country, F.substr(_fill(digits, stream), F.length(country) + 1, F.length(digits)))
+    # What a mention looks like only lays the value out: the value itself follows from the entity.
+    number = _digits(entity)
+    country = F.regexp_extract(entity, rf"^phone:\+({_COUNTRY_CODE})", 1)
+    phone = F.concat(country, F.substr(_fill(number, stream), F.length(country) + 1, F.length(number)))
     body_of_card = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.substr(_fill(digits, stream), F.lit(2), F.length(digits) - 2))
     check = F.pmod(-_luhn_sum(F.concat(body_of_card, F.lit("0"))), F.lit(10)).cast("string")
-    iban = F.concat(F.substr(found, F.lit(1), F.lit(2)), _fill(F.substr(found, F.lit(3), F.length(found)), stream), F.upper(grown))
+    account = F.substring_index(entity, ":", -1)
+    account = F.concat(F.substr(account, F.lit(1), F.lit(2)), _fill(F.substr(account, F.lit(3), F.length(account)), stream))
+    iban = F.concat(_lay_out(found, account, "^[A-Z0-9]$"), F.upper(grown))
     ip = F.concat_ws(".", *[((_number(stream, n) % 15 + 240) if n == 0 else _number(stream, n) % 254 + 1).cast("string") for n in range(4)])
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
     male = entity.startswith("name:m")

@@ -79,3 +79,19 @@ def test_entities_are_replaced_whole(spark):
     new = re.fullmatch(r"token=([A-Za-z0-9]{1000}) ends", found[3].text)[1]
     assert not any(new[at : at + 12] in long for at in range(0, 1000, 12))
     assert found[4].text.endswith(" WAS HERE")
+
+
+def test_all_spellings_of_an_entity_share_one_value(spark):
+    rows = [
+        (1, "GB82 WEST 1234 5698 7654 32 or GB82WEST12345698765432"),
+        (2, "+49 30 1234 5678 or +493012345678 or +49 (30) 1234-5678"),
+        (3, "+42 955 544 28 or 429-555-4428"),
+    ]
+    found = replaced(spark, rows)
+    spaced, plain = found[1].text.split(" or ")
+    assert spaced.replace(" ", "") == plain != "GB82WEST12345698765432" and plain.startswith("GB")
+    assert re.fullmatch(r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d", spaced)
+    phones = {re.sub(r"\D", "", phone) for phone in found[2].text.split(" or ")}
+    assert len(phones) == 1 and min(phones).startswith("49") and min(phones) != "493012345678"
+    other, local = (re.sub(r"\D", "", phone) for phone in found[3].text.split(" or "))
+    assert other != local  # one has a country code, the other none
