@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadrank.llm import bpe_counts, language, line_blocks, minhash, mixing, revisits, simhash, surrogates, tiling, toxicity
+from leadrank.llm import bpe_counts, language, line_blocks, line_dedup, minhash, mixing, revisits, simhash, surrogates, tiling
+from leadrank.llm import toxicity
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
@@ -228,3 +229,24 @@ def op4_revisits(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join(lines, "; ").alias("headers"),
         F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"),
     )
+
+
+LINES_SQL = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+spread AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS name FROM spread),
+held AS (
+  SELECT name, max(doc_id) AS keeper FROM keyed WHERE length(name) >= 40 GROUP BY name HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT k.*, coalesce(h.keeper <> k.doc_id, false) AS goes FROM keyed k LEFT JOIN held h USING (name))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT goes), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
+
+
+@query(LINES_SQL)
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the lines that many of them share."""
+    found = line_dedup.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

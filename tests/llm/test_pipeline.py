@@ -23,8 +23,8 @@ def test_no_machine_bound_calls():
 def test_all_queries_are_registered():
     named = contract.queries()
     numbers = {int(m[1]) for name in named if (m := re.match(r"op(\d+)_", name))}
-    assert numbers == set(range(1, 11)) and "pipeline" in named
-    assert set(queries.ORACLES) == {"op1_source_mix", "op4_revisits"}
+    assert numbers == set(range(1, 14)) and "pipeline" in named
+    assert set(queries.ORACLES) == {"op1_source_mix", "op4_revisits", "op11_line_dedup", "op12_phrases"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
