@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadrank.llm import bpe_counts, language, line_blocks, line_dedup, minhash, mixing, revisits, simhash, surrogates, tiling
-from leadrank.llm import toxicity
+from leadrank.llm import bpe_counts, language, line_blocks, line_dedup, minhash, mixing, phrases, revisits
+from leadrank.llm import simhash, surrogates, tiling, toxicity
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
@@ -250,3 +250,41 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the lines that many of them share."""
     found = line_dedup.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+PHRASES_SQL = r"""
+WITH folded AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM folded),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS at FROM listed),
+sized AS (SELECT *, unnest([1, 2, 3, 4]) AS size FROM starts),
+counts AS (
+  SELECT lang, size, array_to_string(words[at : at + size - 1], ' ') AS phrase, count(*) AS a
+  FROM sized WHERE at + size - 1 <= len(words) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS words FROM counts WHERE size > 1 AND a >= 30),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.size, c.phrase, c.a, k, f.a AS l, g.a AS r, CAST((2000000::HUGEINT * c.a) // (f.a + g.a) AS BIGINT) AS score
+  FROM cuts c
+  JOIN counts f ON f.lang = c.lang AND f.phrase = array_to_string(words[1 : k], ' ')
+  JOIN counts g ON g.lang = c.lang AND g.phrase = array_to_string(words[k + 1 : c.size], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+inner_parts AS (
+  SELECT lang, a, words, size, unnest(range(2, size)) AS part FROM candidates),
+inside AS (
+  SELECT lang, array_to_string(words[at : at + part - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT *, unnest(range(1, size - part + 2)) AS at FROM inner_parts) GROUP BY ALL),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank
+  FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE s.place = 1 AND NOT coalesce(100 * i.most >= 80 * s.a, false))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+@query(PHRASES_SQL)
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 collocations of each language in all documents."""
+    return phrases.collocations(table(spark, folder, "documents"))
