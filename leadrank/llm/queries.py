@@ -258,11 +258,11 @@ WITH folded AS (
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM folded),
 listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
-starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS at FROM listed),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM listed),
 sized AS (SELECT *, unnest([1, 2, 3, 4]) AS size FROM starts),
 counts AS (
-  SELECT lang, size, array_to_string(words[at : at + size - 1], ' ') AS phrase, count(*) AS a
-  FROM sized WHERE at + size - 1 <= len(words) GROUP BY ALL),
+  SELECT lang, size, array_to_string(words[pos : pos + size - 1], ' ') AS phrase, count(*) AS a
+  FROM sized WHERE pos + size - 1 <= len(words) GROUP BY ALL),
 totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
 candidates AS (SELECT *, string_split(phrase, ' ') AS words FROM counts WHERE size > 1 AND a >= 30),
 cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
@@ -275,8 +275,8 @@ lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score
 inner_parts AS (
   SELECT lang, a, words, size, unnest(range(2, size)) AS part FROM candidates),
 inside AS (
-  SELECT lang, array_to_string(words[at : at + part - 1], ' ') AS phrase, max(a) AS most
-  FROM (SELECT *, unnest(range(1, size - part + 2)) AS at FROM inner_parts) GROUP BY ALL),
+  SELECT lang, array_to_string(words[pos : pos + part - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT *, unnest(range(1, size - part + 2)) AS pos FROM inner_parts) GROUP BY ALL),
 ranked AS (
   SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank
   FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
