@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from leadrank.llm import bpe_counts, language, line_blocks, line_dedup, minhash, mixing, phrases, revisits
-from leadrank.llm import simhash, surrogates, tiling, toxicity
+from leadrank.llm import bpe_counts, language, line_blocks, line_dedup, minhash, mixing, periodic_runs
+from leadrank.llm import phrases, revisits, simhash, surrogates, tiling, toxicity
 from leadrank.llm.common import table
 from leadrank.session import cut_lineage
 
@@ -288,3 +290,40 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     """The first 2,000 collocations of each language in all documents."""
     return phrases.collocations(table(spark, folder, "documents"))
+
+
+def repeated_tail(doc_id: int | None, text: str | None) -> str:
+    """The words of a text, joined by blanks; every tenth document, by a hash of its id, repeats a stretch to its end."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    n, h = len(words), 1 if doc_id is None else zlib.crc32(str(int(doc_id)).encode())
+    if n and h % 10 == 0:
+        start = h // 10 % n
+        period = 1 + (n - start) // (3 + h // 10 % 8)
+        part = words[start : start + period]
+        words[start:] = (part * ((n - start) // period + 1))[: n - start]
+    return b" ".join(words).decode("utf-8", "replace")
+
+
+@F.pandas_udf(T.StringType())
+def _repeated_tails(doc_ids: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([repeated_tail(*row) for row in zip(doc_ids.astype(object).where(doc_ids.notna(), None), texts)], dtype=object)
+
+
+@query()
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with the runs of repeated words in their texts, some of which are made to repeat."""
+    docs = table(spark, folder, "documents").select("doc_id", _repeated_tails("doc_id", "text").alias("text"))
+    found = periodic_runs.with_runs(docs)
+    place = lambda run: F.struct((-run["length"]).alias("less"), run["start"].alias("start"), run["period"].alias("period"))
+    line = lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.withColumn("best", F.array_min(F.transform("runs", place))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.less div best.period").alias("exponent_milli"),
+        digest(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
