@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -32,6 +33,7 @@ SCALE = 2_000_000
 TOP = 2_000
 MAX_FILTER_BITS = 27
 CACHED_WORDS = 500_000
+GATHERED_BYTES = 4_000_000
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 # Separators become one token that no word can equal; white space within a piece is left to bytes.split().
@@ -141,45 +143,56 @@ def frequent_filter(frequent: DataFrame) -> Filter:
     return Filter(frequent.sparkSession.sparkContext.broadcast(words), bits)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of about GATHERED_BYTES of chunks at once, so that more of what repeats is summed before it is shuffled."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= GATHERED_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _counter(size: int, shorter: Filter | None):
-    """Phrases of `size` words in the chunks of a batch, with their weighted counts."""
+    """Phrases of `size` words in the chunks that a task gathers, with their weighted counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
-            split = [chunk.split(b" ") for chunk in batch.column(1).to_pylist()]
-            lengths = np.fromiter(map(len, split), np.int64, len(split))
-            flat = [token for found in split for token in found]
-            numbers: dict[bytes, int] = {BREAK: 0}
-            code = np.fromiter((numbers.setdefault(token, len(numbers)) for token in flat), np.int64, len(flat))
-            known = sorted(set(batch.column(0).to_pylist()))
-            spoken = np.searchsorted(np.array(known, object), np.array(batch.column(0).to_pylist(), object)).astype(np.int64)
-            language = np.repeat(spoken, lengths)
-            weight = np.repeat(batch.column(2).to_numpy(), lengths)
+        for rows in _gathered(batches):
+            split = pc.split_pattern(rows.column(1).combine_chunks().cast(pa.string()), " ")
+            lengths = pc.list_value_length(split).to_numpy()
+            found = split.flatten().dictionary_encode()
+            code, spelled = found.indices.to_numpy().astype(np.int64), found.dictionary
+            spoken = rows.column(0).combine_chunks().dictionary_encode()
+            known = spoken.dictionary
+            language = np.repeat(spoken.indices.to_numpy().astype(np.int64), lengths)
+            weight = np.repeat(rows.column(2).to_numpy(), lengths)
             left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(code))  # tokens of the chunk from here on
+            word = code != pc.index(spelled, BREAK.decode()).as_py()
             at = np.flatnonzero(left > SHARED)
             for step in range(size):
-                at = at[code[at + step] != 0]
+                at = at[word[at + step]]
             if shorter is not None:
-                spelled = hashes.of(list(numbers))[code]
-                speech = hashes.of([name.encode() for name in known])[language]
+                hashed = hashes.of(spelled.cast(pa.binary()).to_pylist())[code]
+                speech = hashes.of(known.cast(pa.binary()).to_pylist())[language]
                 for step in range(2):
-                    at = at[shorter.passes(phrase_hashes(speech, spelled, at + step, size - 1))]
-            key = language[at]
+                    at = at[shorter.passes(phrase_hashes(speech, hashed, at + step, size - 1))]
+            key, keys = language[at], len(known)
             for step in range(size):
-                key = np.unique(key * len(numbers) + code[at + step], return_inverse=True)[1]
-            _, first, key = np.unique(key, return_index=True, return_inverse=True)
-            sums = np.zeros(len(first), np.int64)
-            np.add.at(sums, key, weight[at])
-            places = at[first].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([known[n] for n in language[at[first]]], pa.string()),
-                    pa.array([b" ".join(flat[place : place + size]) for place in places], pa.binary()),
-                    pa.array(sums),
-                ],
-                ["lang", "phrase", "count"],
-            )
+                if keys * len(spelled) >= 1 << 62:
+                    key = np.unique(key, return_inverse=True)[1]
+                    keys = len(at)
+                key, keys = key * len(spelled) + code[at + step], keys * len(spelled)
+            order = np.argsort(key, kind="stable")
+            opens = np.flatnonzero(np.diff(key[order], prepend=-1))
+            first = at[order[opens]]
+            sums = np.add.reduceat(weight[at[order]], opens) if len(opens) else np.empty(0, np.int64)
+            parts = [spelled.take(pa.array(code[first + step])) for step in range(size)]
+            phrase = pc.binary_join_element_wise(*parts, " ").cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(language[first])), phrase, pa.array(sums)], ["lang", "phrase", "count"])
 
     return count
 
