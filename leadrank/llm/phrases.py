@@ -35,6 +35,7 @@ MAX_FILTER_BITS = 27
 CACHED_WORDS = 500_000
 GATHERED_BYTES = 4_000_000
 MIXER = np.uint64(0x9E3779B97F4A7C15)
+_LETTERS = np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64)
 
 # Separators become one token that no word can equal; white space within a piece is left to bytes.split().
 BREAK = b"."
@@ -44,10 +45,10 @@ _FOLD = bytes.maketrans(_UPPER + SEPARATORS, _LOWER + BREAK * len(SEPARATORS))
 _BREAKS = re.compile(rb"\.[. \t]*")
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text, with A-Z in lower case, and a BREAK wherever a piece ends."""
+def spelled(text: str | None) -> bytes:
+    """The tokens of a text, joined by blanks: its words, with A-Z in lower case, and a BREAK wherever a piece ends."""
     folded = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
-    return _BREAKS.sub(b" . ", folded).split()
+    return b" ".join(_BREAKS.sub(b" . ", folded).split())
 
 
 class Hashes(dict):
@@ -63,30 +64,35 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
-def chunks(found: list[bytes], hashes: Hashes, period: int = PERIOD) -> Iterator[bytes]:
-    """The chunks of a text. Its end is padded with breaks, so that each chunk owns all but its last SHARED tokens."""
-    if not found:
+def chunks(joined: bytes, period: int = PERIOD) -> Iterator[bytes]:
+    """The chunks of joined tokens. The end is padded with breaks, so that each chunk owns all but its last SHARED tokens.
+
+    For finding cuts a token counts by the sum of its letters' random numbers.
+    """
+    if not joined:
         return
-    padded = found + [BREAK] * SHARED
-    each = hashes.of(padded)
-    window = each[: len(found)]
+    padded = joined + (b" " + BREAK) * SHARED
+    letters = np.frombuffer(padded, np.uint8)
+    opens = np.concatenate(([0], np.flatnonzero(letters == ord(" ")) + 1))
+    each, count = np.add.reduceat(_LETTERS[letters], opens), len(opens) - SHARED
+    window = each[:count]
     for step in range(1, SHARED):
-        window = (window ^ (window >> np.uint64(29))) * MIXER + each[step : step + len(found)]
+        window = (window ^ (window >> np.uint64(29))) * MIXER + each[step : step + count]
     cuts = np.flatnonzero(((window * MIXER) >> np.uint64(32)) % np.uint64(period) == 0)
-    starts = [0, *cuts[cuts > 0].tolist(), len(found)]
+    starts = [0, *cuts[cuts > 0].tolist(), count]
+    edges = [*opens.tolist(), len(padded) + 1]
     for start, stop in zip(starts, starts[1:]):
-        yield b" ".join(padded[start : stop + SHARED])
+        yield padded[edges[start] : edges[stop + SHARED] - 1]
 
 
 def _parse(period: int):
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for low in range(0, batch.num_rows, 1_000):
                 part = batch.slice(low, 1_000)
                 languages, parsed = [], []
                 for language, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    mine = list(chunks(tokens(text.as_py()), hashes, period))
+                    mine = list(chunks(spelled(text.as_py()), period))
                     parsed += mine
                     languages += [language] * len(mine)
                 yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(parsed, pa.binary())], ["lang", "chunk"])
@@ -165,32 +171,32 @@ def _counter(size: int, shorter: Filter | None):
             split = pc.split_pattern(rows.column(1).combine_chunks().cast(pa.string()), " ")
             lengths = pc.list_value_length(split).to_numpy()
             found = split.flatten().dictionary_encode()
-            code, spelled = found.indices.to_numpy().astype(np.int64), found.dictionary
+            code, words = found.indices.to_numpy().astype(np.int64), found.dictionary
             spoken = rows.column(0).combine_chunks().dictionary_encode()
             known = spoken.dictionary
             language = np.repeat(spoken.indices.to_numpy().astype(np.int64), lengths)
             weight = np.repeat(rows.column(2).to_numpy(), lengths)
             left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(code))  # tokens of the chunk from here on
-            word = code != pc.index(spelled, BREAK.decode()).as_py()
+            word = code != pc.index(words, BREAK.decode()).as_py()
             at = np.flatnonzero(left > SHARED)
             for step in range(size):
                 at = at[word[at + step]]
             if shorter is not None:
-                hashed = hashes.of(spelled.cast(pa.binary()).to_pylist())[code]
+                hashed = hashes.of(words.cast(pa.binary()).to_pylist())[code]
                 speech = hashes.of(known.cast(pa.binary()).to_pylist())[language]
                 for step in range(2):
                     at = at[shorter.passes(phrase_hashes(speech, hashed, at + step, size - 1))]
             key, keys = language[at], len(known)
             for step in range(size):
-                if keys * len(spelled) >= 1 << 62:
+                if keys * len(words) >= 1 << 62:
                     key = np.unique(key, return_inverse=True)[1]
                     keys = len(at)
-                key, keys = key * len(spelled) + code[at + step], keys * len(spelled)
+                key, keys = key * len(words) + code[at + step], keys * len(words)
             order = np.argsort(key, kind="stable")
             opens = np.flatnonzero(np.diff(key[order], prepend=-1))
             first = at[order[opens]]
             sums = np.add.reduceat(weight[at[order]], opens) if len(opens) else np.empty(0, np.int64)
-            parts = [spelled.take(pa.array(code[first + step])) for step in range(size)]
+            parts = [words.take(pa.array(code[first + step])) for step in range(size)]
             phrase = pc.binary_join_element_wise(*parts, " ").cast(pa.binary())
             yield pa.RecordBatch.from_arrays([known.take(pa.array(language[first])), phrase, pa.array(sums)], ["lang", "phrase", "count"])
 

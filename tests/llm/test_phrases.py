@@ -56,7 +56,7 @@ def test_each_start_belongs_to_one_chunk():
     rng = random.Random(2)
     for period in (1, 2, 5, 1000):
         found = [b"%d" % rng.randrange(5) for _ in range(300)]
-        parts = [c.split(b" ") for c in phrases.chunks(found, phrases.Hashes(), period)]
+        parts = [c.split(b" ") for c in phrases.chunks(b" ".join(found), period)]
         owned = [part[: len(part) - phrases.SHARED] for part in parts]
         assert [token for part in owned for token in part] == found
         for a, b in zip(parts, owned[1:] + [[phrases.BREAK] * 3]):
