@@ -246,12 +246,14 @@ def one_of_each(docs: DataFrame, key: str, fp: Column, find: Callable[[DataFrame
     rows = cut_lineage(docs.select(fp.alias("fp"), rank.alias("rank")))
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("rank").alias("first_id"), F.count("*").alias("rows")))
     chosen = cut_lineage(find(prints.select("fp", "first_id")).select(F.col("component_id").alias("rank")).distinct())
-    copies = cut_lineage(rows.join(chosen, "rank").groupBy("rank").agg(F.count("*").alias("__copies")))
-    marked = docs.withColumn("__rank", rank).join(copies.withColumnRenamed("rank", "__rank"), "__rank")
-    kept = marked.where("__copies = 1").select(*names)
-    if copies.where("__copies > 1").isEmpty():
+    copies = cut_lineage(rows.join(chosen, "rank").groupBy("rank").agg(F.count("*").alias("copies")))
+    row = F.struct(*[F.col(f"`{name}`") for name in names])
+    marked = docs.select(row.alias("row"), rank.alias("rank")).join(copies, "rank")
+    columns = [F.col(f"row.`{name}`") for name in names]
+    kept = marked.where("copies = 1").select(*columns)
+    if copies.where("copies > 1").isEmpty():
         return kept
-    return kept.union(marked.where("__copies > 1").select(*names).dropDuplicates())
+    return kept.union(marked.where("copies > 1").select(*columns).dropDuplicates())
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", group_limit: int = GROUP_LIMIT) -> DataFrame:

@@ -5,10 +5,10 @@ import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from leadrank.llm import mixing, queries, simhash, surrogates, tiling, toxicity
+from leadrank.llm import mixing, queries, surrogates, tiling, toxicity
 from tests.conftest import TEST_DATA
 from tests.llm.samples import awkward, nothing
-from tests.llm.test_simhash import lowest_reachable
+from tests.llm.test_near_copies import exact_classes
 from tests.oracle import connect, normal
 
 FOLDER = f"{TEST_DATA}/sf0.001"
@@ -45,11 +45,8 @@ def test_stages_equal_plain_versions(spark):
     left = {r.doc_id: r for r in docs.collect()}
     score = toxicity.scorer(toxicity.fit(docs, labels))
     left = {n: r for n, r in left.items() if score(r.text) < toxicity.THRESHOLD}
-    component = lowest_reachable({simhash.fingerprint(r.text) for r in left.values()})
-    first = {}
-    for n in sorted(left):
-        first.setdefault(component[simhash.fingerprint(left[n].text)], n)
-    left = {n: left[n] for n in first.values()}
+    root = exact_classes(dict(enumerate(left[n].text for n in sorted(left))))
+    left = {n: left[n] for place, n in enumerate(sorted(left)) if root[place] == place}
     coder = tiling.Coder()
     items = [coder(r.text) for r in bench.collect()]
     leaky = {
