@@ -14,7 +14,7 @@ from leadrank.functions.text import (
     sorted_evidence,
     trigger_fingerprint,
 )
-from leadrank.operators.ids import assign_ids
+from leadrank.operators.ids import BLOCK_WIDTH, assign_ids
 from leadrank.operators.matching import ARTICLE, FINGERPRINT, first_come_matching
 from leadrank.operators.skew import HOT_ROWS, salted_lookup
 from leadrank.session import cut_lineage
@@ -44,7 +44,7 @@ def dedup_triggers(
     resolved: DataFrame,
     triggers: DataFrame,
     next_id_after: int = 0,
-    group_limit: int = 200_000,
+    width: int = BLOCK_WIDTH,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds fingerprint, article, trigger_id and is_new to every resolved candidate.
@@ -63,7 +63,7 @@ def dedup_triggers(
         edges.join(by_fingerprint, FINGERPRINT, "left").join(by_article, ARTICLE, "left")
     )
     free = known.where(F.col("fingerprint_id").isNull() & F.col("article_id").isNull())
-    kept = assign_ids(first_come_matching(free.select(*_EDGE, "ord"), group_limit), "ord", "new_id", next_id_after)
+    kept = assign_ids(first_come_matching(free.select(*_EDGE, "ord"), width), "ord", "new_id", next_id_after)
     decided = (
         known.drop("ord")
         .join(

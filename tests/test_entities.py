@@ -6,10 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from leadrank.operators import matching
 from leadrank.operators.ids import assign_ids
+from leadrank.operators.matching import first_come_matching
 from leadrank.operators.resolve import company_snapshot, resolve_companies
 from leadrank.operators.triggers import dedup_triggers, eligible_triggers
 from leadrank.schemas import TABLES
+from leadrank.session import cut_lineage
 
 
 def one_by_one(candidates, companies):
@@ -136,9 +139,9 @@ def check_triggers(spark, as_of, rows, history, **options):
     assert [got[i] for i in range(len(rows))] == triggers_one_by_one(rows, history)
 
 
-@pytest.mark.parametrize("group_limit, hot_rows", [(200_000, 10**6), (2, 2), (0, 1)])
-def test_dedup_equals_the_rule(spark, as_of, group_limit, hot_rows):
-    rng, rows, history = random.Random(group_limit), [], []
+@pytest.mark.parametrize("width, hot_rows", [(200_000, 10**6), (2, 2), (1, 1)])
+def test_dedup_equals_the_rule(spark, as_of, width, hot_rows):
+    rng, rows, history = random.Random(width), [], []
     for company in range(120):
         titles = [f"t{i}" for i in range(rng.randint(1, 5))]
         urls = [f"https://u.example/{i}" for i in range(rng.randint(1, 5))]
@@ -150,7 +153,7 @@ def test_dedup_equals_the_rule(spark, as_of, group_limit, hot_rows):
                 history.append((company, kind, title, url))
         rows += [(company, rng.choice("xy"), rng.choice(titles), rng.choice(urls)) for _ in range(rng.randint(1, 14))]
     rng.shuffle(rows)
-    check_triggers(spark, as_of, rows, history, group_limit=group_limit, hot_rows=hot_rows)
+    check_triggers(spark, as_of, rows, history, width=width, hot_rows=hot_rows)
 
 
 def test_dropped_rows_do_not_extend_the_match(spark, as_of):
@@ -159,6 +162,50 @@ def test_dropped_rows_do_not_extend_the_match(spark, as_of):
     check_triggers(spark, as_of, [(1, "x", "f1", u + "2"), (1, "x", "f1", u + "1")], [(1, "x", "f9", u + "1")])
 
 
+def edge_frame(spark, edges):
+    rows = [(1, "t", f, a, 7 * n) for n, (f, a) in enumerate(edges)]
+    ddl = "company_id long, trigger_type string, fingerprint string, article string, ord long"
+    return spark.createDataFrame(rows, ddl).repartition(3)
+
+
+def kept_in_order(edges):
+    prints, articles, kept = set(), set(), []
+    for n, (f, a) in enumerate(edges):
+        if f not in prints and a not in articles:
+            kept.append(7 * n)
+            prints.add(f)
+            articles |= set() if a is None else {a}
+    return kept
+
+
+def test_blocks_of_a_company_give_the_same_matching(spark):
+    rng = random.Random(11)
+    mixed = [(f"f{rng.randrange(60)}", f"a{rng.randrange(60)}") for _ in range(500)]
+    sparse = [(f"f{rng.randrange(700)}", rng.choice([None, f"a{rng.randrange(700)}"])) for _ in range(600)]
+    hot = [("f", f"a{n}") if rng.random() < 0.5 else (f"f{rng.randrange(200)}", f"a{rng.randrange(n + 1)}") for n in range(400)]
+    for edges in (mixed, sparse, hot):
+        for width in (10**6, 64, 9):
+            found = first_come_matching(edge_frame(spark, edges), width).select("ord").collect()
+            assert sorted(row.ord for row in found) == kept_in_order(edges)
+
+
+@pytest.mark.parametrize("rows, width, most", [(100_000, 1_000, 30), (100_000, 10_000, 24)])
+def test_rounds_of_a_chain_grow_with_its_logarithm(spark, monkeypatch, rows, width, most):
+    """Each observation shares a mark with the one before, over all blocks of the company."""
+    written = []
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+    chain = spark.range(rows).select(
+        F.lit(1).cast("long").alias("company_id"),
+        F.lit("t").alias("trigger_type"),
+        F.concat(F.lit("f"), F.floor((F.col("id") + 1) / 2).cast("string")).alias("fingerprint"),
+        F.concat(F.lit("a"), F.floor(F.col("id") / 2).cast("string")).alias("article"),
+        (F.col("id") * 3).alias("ord"),
+    )
+    found = matching.first_come_matching(chain.repartition(5), width)
+    assert found.where("ord % 6 = 0").count() == found.count() == rows // 2
+    assert len(written) <= most
+
+
 def test_ids_follow_arrival_order(spark):
     hashed = [(n * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for n in range(1, 3000)]
     for orders in ([5, 900, 7, 10**12, 31, 6], hashed, []):
