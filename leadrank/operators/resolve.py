@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leadrank.functions.text import normalize_name, website_domain
 from leadrank.operators.ids import BLOCK_WIDTH, arrival_block, assign_ids, rank_places
+from leadrank.operators.key_filter import with_any_key
 from leadrank.operators.skew import HOT_ROWS, salted_lookup
 from leadrank.session import cut_lineage
 
@@ -194,11 +195,14 @@ def resolve_companies(
     `candidates` needs a unique LONG `ord`, `company_name` and `website`. `companies` is the stored table.
     New companies get ids after `next_id_after` in arrival order of the candidates that made them.
 
-    Candidates of one domain collapse to their leader before any shuffle. The final lookup meets one row per
-    domain or bare candidate; a domain with more than `hot_rows` candidates is salted there.
+    Domains and names are worked out and written once. Stored companies pass a filter of them where they are scanned, so
+    of the store only what this run may meet is shuffled. Candidates of one domain collapse to their leader
+    before any shuffle. The final lookup meets one row per domain or bare candidate; a domain with more than
+    `hot_rows` candidates is salted there.
     """
-    identified = identify(candidates)
-    narrow = identified.select("ord", "domain", "normalized_name")
+    narrow = cut_lineage(identify(candidates.select("ord", "company_name", "website")).drop("company_name", "website"))
+    companies = with_any_key(companies, narrow, {"website_domain": "domain", "normalized_name": "normalized_name"})
+    companies = cut_lineage(companies.select("id", "website_domain", "normalized_name"))
     domains = cut_lineage(first_per_domain(narrow).join(known_domains(companies), "domain", "left"))
     leaders = domains.where(F.col("known_id").isNull()).select(
         F.col("leader_ord").alias("ord"), "domain", "normalized_name", F.lit(True).alias("leads")
@@ -234,13 +238,15 @@ def resolve_companies(
         outcome.unionByName(stored).join(counts, "handle", "left").fillna(1, ["key_rows"])
     )
     moved_here = F.coalesce(F.col("ord") == F.col("mover_ord"), F.lit(False))
-    handled = identified.withColumn("handle", _handle(F.col("domain"), F.col("ord")))
-    return (
+    handled = narrow.withColumn("handle", _handle(F.col("domain"), F.col("ord")))
+    outcome = (
         salted_lookup(handled, cut_lineage(entries), ["handle"], "ord", hot_rows)
         .withColumn("creates_company", moved_here & F.col("creates"))
         .withColumn("fills_domain", moved_here & F.col("fills"))
         .drop("handle", "mover_ord", "creates", "fills")
     )
+    # The payload meets the outcome by the unique arrival number, which no row shares with another.
+    return candidates.drop(*[name for name in outcome.columns if name != "ord"]).join(outcome, "ord")
 
 
 def _handle(domain: Column, order: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leadrank.operators import matching
 from leadrank.operators.ids import assign_ids
+from leadrank.operators.key_filter import with_any_key
 from leadrank.operators.matching import first_come_matching
 from leadrank.operators.resolve import company_snapshot, resolve_companies
 from leadrank.operators.triggers import dedup_triggers, eligible_triggers
@@ -234,3 +235,18 @@ def test_last_payload_is_scored(spark):
     assert (row.trigger_id, row.payload, row.ord, row.first_ord) == (7, "last", 5, 1)
     assert {row.trigger_id for row in eligible_triggers(observed, scores, replay=True).collect()} == {7, 8}
     assert observed.where(F.col("ord") == 2).count() == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_stored_companies_that_may_be_met_are_shuffled(spark, as_of):
+    companies = [{"id": n + 1, "name": f"n{n}", "domain": f"d{n}.example" if n % 3 else None} for n in range(5000)]
+    stored = company_frame(spark, companies, as_of).repartition(4)
+    keys = spark.createDataFrame([("d7.example", "n7"), (None, "n9"), ("new.example", "n12")], "domain string, name string")
+    met = with_any_key(stored, keys, {"website_domain": "domain", "normalized_name": "name"})
+    found = {row.id for row in met.collect()}
+    assert {8, 10, 13} <= found and len(found) < 60
+    assert "hashpartitioning" not in plan_of(met)
+    assert met.columns == stored.columns and with_any_key(stored, keys.limit(0), {"normalized_name": "name"}).count() == 0
