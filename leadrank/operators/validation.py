@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leadrank.functions import records
 from leadrank.functions.fixed import DIMENSION_WEIGHTS, HUMAN_RATINGS, OUTPUT_TRIES
@@ -121,23 +121,30 @@ def attempts_with_problem(responses: DataFrame, shape: Closed) -> DataFrame:
 
 
 def last_valid_attempt(attempts: DataFrame, tries: int = OUTPUT_TRIES) -> DataFrame:
-    """Per request the first valid of at most `tries` attempts, with the evidence seen up to it.
+    """Per request the first valid of its first `tries` attempts, with the evidence seen up to it.
 
-    `attempts` has request_id, attempt (from 0), text, evidence and problem. A request without a valid
-    attempt gets `error_type` and keeps all its evidence. A request has at most `tries` rows here.
+    `attempts` has request_id, attempt, text, evidence and problem. Attempts count in the order of their numbers, wherever
+    these start and whatever they leave out; of several with one number a valid one comes first, then the smallest text.
+    Every request of the input gets a row. One without a valid attempt gets `error_type` and keeps the evidence of all its
+    tries. The first places of a request are kept in the map tasks already, so no task sees more than `tries` rows of it
+    from each of them.
     """
-    tried = attempts.where(F.col("attempt") < tries)
-    first = tried.groupBy("request_id").agg(
-        F.min(F.when(F.col("problem").isNull(), F.col("attempt"))).alias("valid_attempt")
-    )
-    used = tried.join(first, "request_id").where(
-        F.col("valid_attempt").isNull() | (F.col("attempt") <= F.col("valid_attempt"))
-    )
-    return used.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("attempt_count"),
-        F.max(F.when(F.col("attempt") == F.col("valid_attempt"), F.col("text"))).alias("text"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"),
-        F.max(F.when(F.col("valid_attempt").isNull(), F.lit("InvalidOutputError"))).alias("error_type"),
+    order = Window.partitionBy("request_id").orderBy("attempt", F.col("problem").isNotNull(), "text", "evidence")
+    tried = attempts.withColumn("_try", F.row_number().over(order)).where(F.col("_try") <= tries)
+    one = F.struct(F.col("_try").alias("place"), "text", "evidence", F.col("problem").isNull().alias("valid"))
+    listed = tried.groupBy("request_id").agg(F.array_sort(F.collect_list(one)).alias("_tries"))
+    valid = F.filter("_tries", lambda one: one["valid"])
+    used = F.filter("_tries", lambda one: F.col("_last").isNull() | (one["place"] <= F.col("_last")))
+    return (
+        listed.withColumn("_last", F.get(valid, F.lit(0))["place"])
+        .withColumn("_used", used)
+        .select(
+            "request_id",
+            F.size("_used").cast("long").alias("attempt_count"),
+            F.get(valid, F.lit(0))["text"].alias("text"),
+            F.array_sort(F.array_distinct(F.flatten(F.transform("_used", lambda one: one["evidence"])))).alias("evidence"),
+            F.when(F.col("_last").isNull(), F.lit("InvalidOutputError")).alias("error_type"),
+        )
     )
 
 

@@ -7,7 +7,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadrank.functions.text import trigger_fingerprint
-from leadrank.operators.ids import max_id
+from leadrank.operators.ids import assign_ids, max_id
+from leadrank.operators.matching import first_come_matching
 from leadrank.operators.resolve import company_snapshot, first_per_domain, identify, resolve_companies
 from leadrank.operators.triggers import dedup_triggers, eligible_triggers, latest_observation_per_trigger, unscored
 from leadrank.plans.bindings import table
@@ -185,6 +186,24 @@ def deduped_triggers(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("ord", "trigger_id", "is_new")
 
 
+@query(
+    """WITH placed AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part)
+SELECT p_partkey AS ord FROM placed WHERE place % 2 = 0"""
+)
+def chained_observations(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as one chain of observations of one company, each sharing a mark with the one before; blocks of a hundred."""
+    placed = assign_ids(table(spark, folder, "part").select("p_partkey"), "p_partkey", "place", -1)
+    mark = lambda name, half: F.concat(F.lit(name), F.floor(half / 2).cast("string"))
+    edges = placed.select(
+        F.lit(1).cast("long").alias("company_id"),
+        F.lit("launch").alias("trigger_type"),
+        mark("print ", F.col("place") + 1).alias("fingerprint"),
+        mark("https://news.example/", F.col("place")).alias("article"),
+        F.col("p_partkey").alias("ord"),
+    )
+    return first_come_matching(edges, 100).select("ord")
+
+
 def _event_observations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Events as observations of one trigger per user and type; users with a purchase were scored on it."""
     kinds = F.array(*[F.lit(kind) for kind in ("click", "error", "purchase", "signup", "view")])

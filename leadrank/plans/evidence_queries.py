@@ -440,9 +440,14 @@ def _turn_response(text: Column) -> Column:
 
 
 @query(
-    """WITH tried AS (SELECT conv_id, turn, role, min(turn) FILTER (WHERE role = 'assistant')
-                       OVER (PARTITION BY conv_id) AS good FROM conversations WHERE turn < 3),
-used AS (SELECT *, 'https://e.example/' || conv_id || '/' || turn AS url FROM tried WHERE good IS NULL OR turn <= good)
+    """WITH numbered AS (
+  SELECT conv_id, role, turn, CASE conv_id % 4 WHEN 0 THEN turn WHEN 1 THEN turn + 1 WHEN 2 THEN turn * 5 + 3 ELSE turn // 2 END AS attempt
+  FROM conversations),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY attempt, role <> 'assistant', turn) AS place FROM numbered),
+tried AS (
+  SELECT *, min(place) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS good FROM placed WHERE place <= 3),
+used AS (SELECT *, 'https://e.example/' || conv_id || '/' || turn AS url FROM tried WHERE good IS NULL OR place <= good)
 SELECT CAST(conv_id AS VARCHAR) AS request_id, count(*) AS attempt_count,
        CASE WHEN any_value(good) IS NOT NULL THEN '{"candidates":[]}' END AS text,
        string_agg(url, ' ' ORDER BY url) AS evidence,
@@ -450,10 +455,13 @@ SELECT CAST(conv_id AS VARCHAR) AS request_id, count(*) AS attempt_count,
 FROM used GROUP BY conv_id"""
 )
 def valid_attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """The first valid of three attempts, with the evidence up to it; turns of a talk are attempts."""
+    """The first valid of the first three attempts, with the evidence up to it; turns of a talk are attempts. They
+    are numbered from 0, from 1, from 3 with gaps, or in pairs that share a number."""
+    kind, turn = F.col("conv_id") % 4, F.col("turn")
+    number = F.when(kind == 0, turn).when(kind == 1, turn + 1).when(kind == 2, turn * 5 + 3).otherwise(F.floor(turn / 2))
     responses = table(spark, folder, "conversations").select(
         F.col("conv_id").cast("string").alias("request_id"),
-        F.col("turn").cast("int").alias("attempt"),
+        number.cast("int").alias("attempt"),
         _turn_response(F.col("text")).alias("response"),
     )
     tried = va.attempts_with_problem(responses, records.DISCOVERY)

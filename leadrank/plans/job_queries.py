@@ -128,6 +128,51 @@ def stored_responses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "SELECT count(*) AS lines, count(*) AS requests, CAST(0 AS BIGINT) AS usable FROM lineitem"
+)
+def unreadable_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that are no response, most of them equal; each one is a failed request of its own."""
+    path = scratch_path(spark)
+    line = F.concat(F.lit('{"broken": '), "l_returnflag")
+    table(spark, folder, "lineitem").select(line.alias("value")).write.text(path)
+    return read_responses(spark, path).agg(
+        F.count("*").alias("lines"), F.count_distinct("request_id").alias("requests"), F.count("response").alias("usable")
+    )
+
+
+@query(
+    """WITH changes AS (
+  SELECT o_custkey AS id, CAST(o_orderkey % 5 AS BIGINT) + 1 AS run, max(o_orderkey) AS last FROM orders GROUP BY ALL),
+latest AS (SELECT id, max(run) AS run, arg_max(last, run) AS last FROM changes GROUP BY id)
+SELECT id, 'order ' || last AS name, 'run ' || run AS location FROM latest"""
+)
+def compacted_companies(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as companies that five runs change; their state is written whole, in buckets, after the third."""
+    store = Store(spark, scratch_path(spark))
+    store.ensure_tables()
+    run = F.pmod("o_orderkey", F.lit(5)) + 1
+    changes = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("id"), run.alias("run")).agg(
+        F.concat(F.lit("order "), F.max("o_orderkey").cast("string")).alias("name")
+    )
+    changes = cut_lineage(changes)
+    empty, seen = F.lit(None).cast("string"), F.lit(datetime(2024, 7, 1, tzinfo=timezone.utc))
+    for number in range(1, 6):
+        store.compact_companies(number, after=2, bucket_rows=1_000)
+        rows = changes.where(F.col("run") == number).select(
+            "id",
+            "name",
+            F.lower("name").alias("normalized_name"),
+            empty.alias("website"),
+            empty.alias("website_domain"),
+            F.lit(f"run {number}").alias("location"),
+            seen.alias("first_seen_at"),
+            seen.alias("last_seen_at"),
+        )
+        store.write_run(rows, "companies", number)
+    return store.read("companies").select("id", "name", "location")
+
+
 def _accepted(spark: SparkSession, folder: str) -> DataFrame:
     accepted, _ = split_accept_reject(review_candidates(_document_items(spark, folder), TODAY))
     return accepted.select(F.col("doc_id").alias("ord"), "candidate.*")

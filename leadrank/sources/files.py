@@ -24,13 +24,15 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 def responses_of(lines: DataFrame) -> DataFrame:
     """Responses from lines of text, `value`, one row for every line that is not blank.
 
-    A line that is no JSON, or that names no request, becomes a request of its own, named after file and line, without a
-    response: it fails like any other unusable response, under the file's name as topic.
+    A line that is no JSON, or that names no request, becomes a request of its own, named after file, line and the place
+    where the line was read, without a response: it fails like any other unusable response, under the file's name as topic.
+    Equal lines of a file have places of their own, which stay the same when a lost task reads its split again.
     """
     parsed = F.try_parse_json(F.col("value"))
     field = lambda name, kind: F.try_variant_get(parsed, f"$.{name}", kind)
     file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    unread = F.concat(F.lit("unreadable-"), F.sha2(F.concat_ws("|", F.input_file_name(), "value"), 256))
+    place = F.monotonically_increasing_id().cast("string")
+    unread = F.concat(F.lit("unreadable-"), F.sha2(F.concat_ws("|", F.input_file_name(), "value", place), 256))
     return lines.where(F.trim("value") != "").select(
         F.coalesce(field("topic_no", "long"), F.lit(0)).alias("topic_no"),
         F.coalesce(field("topic", "string"), file).alias("topic"),

@@ -1,13 +1,21 @@
+import hashlib
 import json
+import re
+import unicodedata
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from leadrank.functions import records
+from leadrank.functions.fixed import LEGAL_FORMS
+from leadrank.functions.text import trigger_fingerprint
 from leadrank.operators import evidence as ev, ranking, report, runs
 from leadrank.operators.inference import TransientError, batch_generate
-from leadrank.operators.validation import review_candidates, validate_candidates
-from leadrank.sources.files import write_report
+from leadrank.operators.validation import last_valid_attempt, review_candidates, validate_candidates
+from leadrank.plans.text_queries import page_date, page_language, page_title
+from leadrank.sources.files import read_responses, write_report
+from tests.conftest import TEST_DATA
 from tests.samples import completed
 
 
@@ -193,3 +201,53 @@ def test_dates_end_where_they_end(spark, candidate):
     assert [found[n] is None for n in range(4)] == [True, False, False, False]
     plain = [records.CANDIDATE.problem(item) for item in items]
     assert [problem is None for problem in plain] == [True, False, False, False]
+
+
+def test_attempts_count_by_their_order(spark):
+    """Numbers from 1, from 3, with gaps and repeats; the first three count, and no request vanishes."""
+    bad, good = "empty", None
+    cases = {
+        "from one": ([(1, bad), (2, bad), (3, good)], 3, "3"),
+        "late only": ([(3, good)], 1, "3"),
+        "late and bad": ([(7, bad)], 1, None),
+        "gaps": ([(2, bad), (40, good), (41, bad)], 2, "40"),
+        "fourth is good": ([(0, bad), (1, bad), (2, bad), (3, good)], 3, None),
+        "repeated": ([(0, bad), (1, bad), (1, good), (2, bad)], 2, "1"),
+        "without number": ([(None, bad), (5, good)], 2, "5"),
+    }
+    rows = [(name, n, f"{n}", [f"e{n}"], problem) for name, (tries, _, _) in cases.items() for n, problem in tries]
+    attempts = spark.createDataFrame(rows, "request_id string, attempt int, text string, evidence array<string>, problem string")
+    found = {row.request_id: row for row in last_valid_attempt(attempts.repartition(3)).collect()}
+    assert set(found) == set(cases)
+    for name, (_, count, text) in cases.items():
+        assert (found[name].attempt_count, found[name].text) == (count, text)
+        assert found[name].error_type == (None if text else "InvalidOutputError")
+    assert found["fourth is good"].evidence == ["e0", "e1", "e2"] and found["gaps"].evidence == ["e2", "e40"]
+
+
+def test_equal_broken_lines_are_requests_of_their_own(spark, tmp_path):
+    (tmp_path / "a.json").write_text('not json\n' * 50 + '{"topic_no": 1}\n' * 3 + '{"request_id": "r", "response": "x"}\n\n')
+    found = read_responses(spark, str(tmp_path))
+    names = [row.request_id for row in found.collect()]
+    assert len(names) == 54 and len(set(names)) == 54 and "r" in names
+    assert sorted(names) == sorted(row.request_id for row in found.collect())
+
+
+def test_fingerprints_of_whole_titles(spark):
+    """All titles of the pages, and some that need NFKC and case folding."""
+    pages = [(row.page_id, row.url, row.html) for row in spark.read.parquet(f"{TEST_DATA}/sf0.1/pages.parquet").collect()]
+    odd = ["Ｆｕｌｌ　Ｗｉｄｔｈ ①", "ﬁne STRASSE straße ẞ", "İstanbul ΣΊΣΥΦΟΣ", "新ブランド㍿ 開始", "e\u0301 e\u0301\u0323", "\u00a0 \u2003x"]
+    for n, title in enumerate(odd):
+        pages.append((10**6 + n, "https://a.example/news/x", f"<title>{title}</title>"))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    shown = frame.select("page_id", trigger_fingerprint(page_language(), page_title(), page_date()).alias("fingerprint"))
+    found = {row.page_id: row.fingerprint for row in shown.collect()}
+    for page, url, html in pages:
+        title = re.search("<title>([^<]*)</title>", html)
+        name = unicodedata.normalize("NFKC", title[1] if title else "").casefold()
+        for form in LEGAL_FORMS:
+            name = name.replace(form, "")
+        day = str(date(2024, 1, 1) + timedelta(page % 400)) if page % 9 else "None"
+        kind = re.match("[^/]*//[^/]*/([a-z]+)/", url)
+        key = "|".join((kind[1] if kind else "", re.sub(r"\s+", "", name), day))
+        assert found[page] == hashlib.sha256(key.encode()).hexdigest()
