@@ -17,6 +17,10 @@ from leadrank.session import cut_lineage
 # Titles that open a name, by the gender they tell.
 MALE_TITLES = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "господин")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "госпожа")
+# Titles after which any noun has a capital too, degrees, and small words inside names.
+GERMAN_TITLES = ("Herr", "Herrn", "Frau")
+DEGREES = ("Dr", "Prof", "Professor", "Professorin", "Doktor")
+PARTICLES = ("van", "von", "vom", "zu", "zum", "zur", "de", "del", "della", "der", "den", "des", "di", "da", "dos", "du", "la", "le", "ter", "ten", "bin", "ibn", "al", "el")
 # Given names and syllables of surnames, by script.
 MALE_NAMES = ("Adrian", "Bruno", "Cedric", "Dario", "Emil", "Felix", "Gregor", "Hugo", "Ivo", "Jonas", "Konrad", "Leon")
 FEMALE_NAMES = ("Alma", "Berta", "Clara", "Dora", "Elin", "Flora", "Greta", "Helena", "Ida", "Julia", "Klara", "Lea")
@@ -27,16 +31,29 @@ CYRILLIC_SYLLABLES = ("бар", "вел", "гор", "дан", "зим", "кол"
 
 # A capital and all letters, marks, hyphens and apostrophes that follow it; at least one of them is a small letter.
 _NAME_WORD = r"\p{Lu}(?=[\p{L}\p{M}'’\-]*\p{Ll})(?:[\p{L}\p{M}]|['’\-](?=\p{L}))*+"
+_TITLES = MALE_TITLES + FEMALE_TITLES
+# Small words and initials, then a word that is no title of somebody else.
+_NAME_PART = (
+    rf"(?:(?:{'|'.join(PARTICLES)})[\x20])*+(?:\p{{Lu}}\.?[\x20](?=\p{{Lu}}))*+"
+    rf"(?!(?:{'|'.join(_TITLES)})(?![\p{{L}}\p{{M}}]))(?:[dDlL]['’])?+{_NAME_WORD}"
+)
+_DEGREES = rf"(?:(?:{'|'.join(DEGREES)})\.?[\x20])*"
+
+
+def _names(titles: tuple[str, ...], more: str) -> str:
+    return rf"(?<![\p{{L}}])(?:{'|'.join(titles)})\.?[\x20]{_DEGREES}+{_NAME_PART}(?:[\x20]{_NAME_PART}){more}"
+
+
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@[A-Za-z0-9][A-Za-z0-9\-]{0,62}+(?:\.[A-Za-z0-9][A-Za-z0-9\-]{0,62}+){1,8}+",
-    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api[_\-]?key)[\x20\t]{0,3}+[:=][\x20\t]{0,3}+[\"']?+[A-Za-z0-9_\-+/.]{8,}+",
+    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api[_\-]?key)[\"']?+[\x20\t]*+[:=][\x20\t]*+(?:\"[^\"\r\n]{8,}+|'[^'\r\n]{8,}+|[^\s\"'][^\s]{7,}+)",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?\([0-9]{1,4}\)[ .\-]?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.?[\x20]{_NAME_WORD}(?:[\x20]{_NAME_WORD})*+",
+    "name": f"(?:{_names(GERMAN_TITLES, '{0,2}+')}|{_names(tuple(t for t in _TITLES if t not in GERMAN_TITLES), '*+')})",
 }
 
 
@@ -54,8 +71,10 @@ ANY = "|".join(
 )
 # Country codes of phone numbers; those not listed with one or two digits have three.
 _COUNTRY_CODE = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
-_SECRET_HEAD = r"""^([A-Za-z_\-]+[\x20\t]*[:=][\x20\t]*["']?)"""
+_SECRET_HEAD = r"""^([A-Za-z_\-]+["']?[\x20\t]*[:=][\x20\t]*["']?)"""
 _TITLE = r"^([\p{L}]+\.?) "
+_NAME_HEAD = rf"^([\p{{L}}]+\.?[\x20]{_DEGREES})"
+_PARTICLE = rf"(?<![\p{{L}}'’\-])(?:{'|'.join(PARTICLES)})[\x20]"
 # From this try on a surrogate also grows, so that small formats never run out of values.
 GROWING_TRY = 4
 
@@ -95,6 +114,14 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
 
+def _iban_check(country: Column, own: Column) -> Column:
+    """The two check digits of an account: they make the whole, read as a number, leave 1 when divided by 97."""
+    digit = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    add = lambda rest, c: (rest * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + digit(c)) % 97
+    rest = F.aggregate(F.split(F.concat(own, country, F.lit("00")), ""), F.lit(0), add)
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
 def _is_entity(found: Column) -> Column:
     """A run of digits that fails the check of card numbers is no entity."""
     return (kind_of(found) != "card") | (_luhn_sum(_digits(found)) % 10 == 0)
@@ -112,7 +139,7 @@ def _value(found: Column, kind: Column) -> Column:
         .when(kind == "phone", F.regexp_replace(found, r"[^0-9+]", ""))
         .when(kind.isin("card", "ssn"), _digits(found))
         .when(kind == "iban", F.regexp_replace(found, " ", ""))
-        .when(kind == "name", F.concat(_gender(found), F.lit(" "), F.lower(F.regexp_replace(found, _TITLE, ""))))
+        .when(kind == "name", F.concat(_gender(found), F.lit(" "), F.lower(F.regexp_replace(found, _NAME_HEAD, ""))))
         .otherwise(found)
     )
 
@@ -200,7 +227,9 @@ def _by_kind(found: Column, entity: Column, tries: Column, kind: Column, stream:
     body_of_card = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.substr(_fill(digits, stream), F.lit(2), F.length(digits) - 2))
     check = F.pmod(-_luhn_sum(F.concat(body_of_card, F.lit("0"))), F.lit(10)).cast("string")
     account = F.substring_index(entity, ":", -1)
-    account = F.concat(F.substr(account, F.lit(1), F.lit(2)), _fill(F.substr(account, F.lit(3), F.length(account)), stream))
+    country_of = F.substr(account, F.lit(1), F.lit(2))
+    own_part = _fill(F.substr(account, F.lit(5), F.length(account)), stream)
+    account = _let(own_part, lambda own: F.concat(country_of, _iban_check(country_of, own), own))
     iban = F.concat(_lay_out(found, account, "^[A-Z0-9]$"), F.upper(grown))
     ip = F.concat_ws(".", *[((_number(stream, n) % 15 + 240) if n == 0 else _number(stream, n) % 254 + 1).cast("string") for n in range(4)])
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
@@ -213,8 +242,9 @@ def _by_kind(found: Column, entity: Column, tries: Column, kind: Column, stream:
     )
     sounds = lambda choices: F.concat(*[_pick(stream, n, choices) for n in range(1, 6)])
     surname = F.initcap(F.concat(F.when(cyrillic, sounds(CYRILLIC_SYLLABLES)).otherwise(sounds(SYLLABLES)), grown_letters))
-    title = F.regexp_extract(found, _TITLE, 1)
-    whole = F.when(F.size(F.split(found, " ")) > 2, F.concat_ws(" ", title, given, surname)).otherwise(F.concat_ws(" ", title, surname))
+    title = F.regexp_extract(found, _NAME_HEAD, 1)
+    called = F.regexp_replace(F.regexp_replace(found, _NAME_HEAD, ""), _PARTICLE, "")
+    whole = F.concat(title, F.when(called.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), surname)
     return (
         F.when(kind == "email", email)
         .when(kind == "secret", secret)
@@ -239,9 +269,11 @@ def colliding(entities: DataFrame, key: str) -> DataFrame:
     then the smallest name; a surrogate that is an entity itself belongs to nobody. The loop ends when each surrogate
     has one owner; the rows that move are few, since formats hold far more values than a corpus has entities.
     """
+    # Entities are few next to the texts; dealt out by name they still keep all tasks busy with their surrogates.
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owners = cut_lineage(entities.withColumn("tries", F.lit(0)))
     while True:
-        named = cut_lineage(owners.withColumn("alias", canonical(surrogate(F.col("found"), F.col("entity"), F.col("tries"), key))))
+        named = cut_lineage(owners.repartition(tasks, "entity").withColumn("alias", canonical(surrogate(F.col("found"), F.col("entity"), F.col("tries"), key))))
         shared = named.groupBy("alias").agg(F.count("*").alias("users"), F.min(F.struct("tries", "entity"))["entity"].alias("owner"))
         real = named.select(F.col("entity").alias("alias"), F.lit(True).alias("real"))
         lost = (
@@ -264,8 +296,11 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     * Kinds: e-mail addresses, passwords and tokens behind their label, access keys, IBANs, IPv4 addresses, US social
       security numbers, phone numbers, card numbers with a valid check digit, names behind a title.
-    * Secrets are taken up to their last character, names over all capitalised words behind the title; a word in small
-      letters ("van") or an initial ends a name.
+    * Secrets are taken up to white space, or up to the closing quote if a quote opens them.
+    * A name is a title, degrees, and the words with a capital that follow, with the initials and small words ("van", "de
+      la") between them; the title of somebody else ends it. After a German title it has three such words at most, since
+      every German noun has a capital. Degrees stay and tell no names apart.
+    * Phone numbers are those with a country code or in a North American format. IPv6 addresses are not looked for.
     * Null texts stay null with 0 entities; empty texts and texts without entities stay as they are. Repeated rows get
       equal texts. An empty table gives an empty one. A column `n_entities` of `docs` is replaced.
     """

@@ -40,6 +40,47 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert name[1] in surrogates.MALE_NAMES and name[2] in surrogates.CYRILLIC_MALE
 
 
+def test_names_are_taken_whole_and_end_at_the_next_title(spark):
+    cases = [
+        ("Mr. Smith Mr. Smith", r"Mr\. (\w+) Mr\. \1"),
+        ("Frau Dr. Schmidt und Frau Schmidt", r"Frau Dr\. (\w+) und Frau \1"),
+        ("so Mr J. Smith came", r"so Mr \w+ \w+ came"),
+        ("John said Mr. John van Damme left", r"John said Mr\. \w+ \w+ left"),
+        ("Señor Juan de la Cruz García y Señora Gómez.", r"Señor \w+ \w+ y Señora \w+\."),
+        ("Mr. John Ronald Reuel Tolkien wrote", r"Mr\. \w+ \w+ wrote"),
+        ("Herr Prof. Dr. Hans Peter Müller Haus Garten", r"Herr Prof\. Dr\. \w+ \w+ Haus Garten"),
+        ("Mr McDonald, Mrs O'Brien-Smith, Monsieur d’Artagnan!", r"Mr \w+, Mrs \w+, Monsieur \w+!"),
+        ("Mr. van der Berg", r"Mr\. \w+"),
+        ("Miss you. Mr and Mrs said no to Herrn X", None),
+    ]
+    found = replaced(spark, [(n, text) for n, (text, _) in enumerate(cases)])
+    for n, (text, shape) in enumerate(cases):
+        assert re.fullmatch(shape or re.escape(text), found[n].text), found[n].text
+        old = set(re.findall(r"\w+", text)) & {"Smith", "Schmidt", "Damme", "Cruz", "García", "Gómez", "Tolkien", "Müller", "Donald", "Brien", "Artagnan", "Berg"}
+        assert not [word for word in old if shape and word in found[n].text]
+
+
+def test_secrets_are_taken_whole(spark):
+    secrets = ["Pa$$w0rd!xyz12", "correct-horse!battery", "a" * 1000, "x,y;z<p>&12"]
+    rows = [(n, f"my password:     {secret} end") for n, secret in enumerate(secrets)]
+    rows += [(10, 'set {"api_key": "two words 12", "n": 1}'), (11, "token='it is \"long\" 99' ok"), (12, "password: short")]
+    found = replaced(spark, rows)
+    for n, secret in enumerate(secrets):
+        assert re.fullmatch(r"my password:     \S+ end", found[n].text) and secret not in found[n].text
+        assert len(found[n].text) == len(rows[n][1])
+    assert re.fullmatch(r'set \{"api_key": "\w+ \w+ \d\d", "n": 1\}', found[10].text) and "two words" not in found[10].text
+    assert re.fullmatch(r"token='\w+ \w+ \"\w+\" \d\d' ok", found[11].text) and "long" not in found[11].text
+    assert found[12].text == "password: short"
+
+
+def test_ibans_have_valid_check_digits(spark):
+    texts = [(n, f"pay to {iban} now") for n, iban in enumerate(["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606"])]
+    for row in replaced(spark, texts).values():
+        account = re.fullmatch("pay to (.*) now", row.text)[1].replace(" ", "")
+        assert account not in texts[row.doc_id][1].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
 def test_the_key_decides(spark):
     one, again, other = (replaced(spark, TEXTS, key) for key in ("k", "k", "l"))
     assert one == again and all(one[n].text != other[n].text for n in range(1, 7))
