@@ -15,26 +15,33 @@ def arrival_block(order: str | Column, width: int = BLOCK_WIDTH) -> Column:
     return F.floor(column / F.lit(width)).cast("long")
 
 
+# `monotonically_increasing_id` counts in the low bits and puts the number of the partition above them.
+_COUNTER_BITS = 33
+
+
 def assign_ids(rows: DataFrame, order: str | list[str], id_column: str, start: int = 0) -> DataFrame:
     """Adds ids start+1, start+2, ... in the order of `order`, whose values may be sparse, hashed or texts.
 
-    Rows are dealt out by range and written, so that their partition stays known; ranks within a partition follow from
-    a window over that partition alone. What passes through the driver is one row count per partition.
+    Rows are dealt out by range, sorted and counted within their partitions, and written with that count; this is the only
+    exchange. An id is the count plus the rows of the partitions before. What passes through the driver is one row count
+    per partition.
     """
     columns = [order] if isinstance(order, str) else order
-    dealt = cut_lineage(rows.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()))
-    sizes = sorted((row["_part"], row["count"]) for row in dealt.groupBy("_part").count().collect())
+    dealt = rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    counted = cut_lineage(dealt.withColumn("__counted", F.monotonically_increasing_id()))
+    part = F.shiftright("__counted", _COUNTER_BITS).cast("int")
+    place = F.col("__counted").bitwiseAND(F.lit((1 << _COUNTER_BITS) - 1))
+    sizes = counted.groupBy(part.alias("__part")).agg((F.max(place) + 1).alias("size")).collect()
     offsets, before = [], start
-    for part, size in sizes:
-        offsets.append((part, before))
+    for number, size in sorted(tuple(row) for row in sizes):
+        offsets.append((number, before))
         before += size
-    known = rows.sparkSession.createDataFrame(offsets, "_part int, _offset long")
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*columns))
+    known = rows.sparkSession.createDataFrame(offsets, "__part int, __offset long")
     return (
-        dealt.withColumn("_place", within)
-        .join(F.broadcast(known), "_part")
-        .withColumn(id_column, (F.col("_offset") + F.col("_place")).cast("long"))
-        .drop("_part", "_place", "_offset")
+        counted.withColumn("__part", part)
+        .join(F.broadcast(known), "__part")
+        .withColumn(id_column, F.col("__offset") + place + 1)
+        .select(*rows.columns, id_column)
     )
 
 
@@ -48,14 +55,14 @@ def rank_places(rows: DataFrame, place: str, id_column: str, start: int = 0, wid
     offsets = (
         blocked.groupBy("_block")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+        .select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("__offset"))
     )
     within = F.row_number().over(Window.partitionBy("_block").orderBy(place))
     return (
         blocked.withColumn("_rank", within)
         .join(offsets, "_block")
-        .withColumn(id_column, (F.lit(start) + F.col("_offset") + F.col("_rank")).cast("long"))
-        .drop("_block", "_rank", "_offset")
+        .withColumn(id_column, (F.lit(start) + F.col("__offset") + F.col("_rank")).cast("long"))
+        .drop("_block", "_rank", "__offset")
     )
 
 

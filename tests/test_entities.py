@@ -215,6 +215,14 @@ def test_ids_follow_arrival_order(spark):
         assert ids == {value: 41 + i for i, value in enumerate(sorted(orders))}
 
 
+def test_ids_take_one_exchange_and_keep_the_columns(spark):
+    rows = spark.range(50_000).selectExpr("id * 7 % 50000 AS ord", "id % 3 AS _part", "null AS empty").repartition(9)
+    found = assign_ids(rows, "ord", "id")
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["ord", "_part", "empty", "id"]
+    assert found.where("id <> ord + 1 or _part <> (ord * 7143 % 50000) % 3").count() == 0 and found.count() == 50_000
+
+
 def test_ids_follow_several_columns(spark):
     rows = spark.createDataFrame([(2, "a"), (1, "b"), (1, "a")], "topic_no long, request_id string").repartition(2)
     found = assign_ids(rows, ["topic_no", "request_id"], "ord").orderBy("ord").collect()
