@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from leadrank.functions.fixed import DIMENSION_WEIGHTS, STAGES
 
@@ -18,9 +17,24 @@ def clamp(value: Column) -> Column:
     return F.when(number - number == 0.0, F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)))
 
 
-@F.pandas_udf(T.DoubleType())
-def _round_binary(values: pd.Series) -> pd.Series:
-    return values.map(lambda value: round(value, 2), na_action="ignore")
+# Splits a double into two halves of 26 bits whose products with a small number are exact.
+_SPLITTER = float((1 << 27) + 1)
+
+
+def round_binary(value: Column) -> Column:
+    """A value of 0 to 2^40 at two decimals, rounded from its exact binary value; ties go to the even digit.
+
+    A hundred times the value is taken as a product and the error of that product, both exact. Where the product lies
+    beside a tie, the error decides, so the result is the double that a correctly rounded decimal text would give.
+    """
+    whole = F.floor(value * 100.0).cast("double")
+    # Halves of the value: the product of either with 100 has no rounding error.
+    shifted = value * F.lit(_SPLITTER)
+    high = shifted - (shifted - value)
+    error = (high * 100.0 - value * 100.0) + (value - high) * 100.0
+    beyond_tie = (value * 100.0 - whole - 0.5) + error
+    up = (beyond_tie > 0.0) | ((beyond_tie == 0.0) & (whole % 2.0 == 1.0))
+    return (whole + up.cast("double")) / 100.0
 
 
 def weighted_total(dimensions: Mapping[str, Column], parity: str = "sql") -> Column:
@@ -33,7 +47,7 @@ def weighted_total(dimensions: Mapping[str, Column], parity: str = "sql") -> Col
         lambda left, right: left + right,
         [clamp(dimensions[name]) * F.lit(weight) for name, weight in DIMENSION_WEIGHTS.items()],
     )
-    return _round_binary(total) if parity == "python" else F.round(total, 2)
+    return round_binary(total) if parity == "python" else F.round(total, 2)
 
 
 def stage_mean(ratings: Sequence[Column]) -> Column:

@@ -172,6 +172,34 @@ def weighted_totals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Sevenths fill all binary digits of a total; quarters give totals that lie on a tie.
+_SEVENTHS = {name: f"(CAST({expression} AS DOUBLE)) / 7e0" for name, (expression, _) in _DIMENSIONS.items()}
+_SQL_EXACT = " + ".join(
+    f"{weight} * greatest(0, least(10, CASE WHEN l_returnflag = 'A' THEN {_quarters(_DIMENSIONS[name][0])} "
+    f"ELSE {_SEVENTHS[name]} END))"
+    for name, weight in zip(_DIMENSIONS, ("2.5e0", "2e0", "1.5e0", "1.5e0", "1.5e0", "1e0"))
+)
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, l_partkey,
+       CAST(format('{{:.2f}}', CAST({_SQL_EXACT.replace('.0', 'e0')} AS DOUBLE)) AS DOUBLE) AS total_score
+FROM lineitem"""
+)
+def exact_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """M2 as earlier runs stored it: totals rounded from their exact binary value, ties among them."""
+    spark_sql = lambda expression: F.expr(expression.replace(".0", "e0"))
+    dimensions = {
+        name: F.when(F.col("l_returnflag") == "A", spark_sql(_quarters(_DIMENSIONS[name][0]))).otherwise(
+            spark_sql(_SEVENTHS[name])
+        )
+        for name in _DIMENSIONS
+    }
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", weighted_total(dimensions, "python").alias("total_score")
+    )
+
+
 @query(
     "SELECT o_orderkey, printf('%g', (o_orderkey * 7 + o_custkey) % 10001 / 100) AS score_text FROM orders"
 )

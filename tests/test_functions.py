@@ -85,6 +85,17 @@ def test_python_parity_rounds_the_binary_value(spark):
     assert totals(spark, [1.07, 0, 0, 0, 0, 0], "python") == round(1.07 * 2.5, 2)
 
 
+def test_python_parity_on_many_totals_without_python(spark):
+    made = spark.range(1_000_000).selectExpr(
+        "CASE id % 4 WHEN 0 THEN rand(3) * 100 WHEN 1 THEN id % 80000 / 800e0 "
+        "WHEN 2 THEN (id % 20000 + 0.5e0) / 200e0 ELSE id % 10001 / 100e0 + pow(2e0, -(id % 60)) END AS v"
+    )
+    found = made.withColumn("r", scoring.round_binary(F.col("v")))
+    assert "Python" not in found._jdf.queryExecution().toString()
+    rows = found.toPandas()
+    assert (rows["r"].to_numpy() == [round(value, 2) for value in rows["v"].tolist()]).all()
+
+
 def test_priority(spark):
     typed = F.from_json(F.lit(json.dumps(evaluation())), records.EVALUATION_DDL)
     zero = evaluation(deliver=dict.fromkeys(evaluation()["deliver"], 0))
