@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadrank.functions.fixed import ERROR_TITLE, LABELS, MESSAGE_UNITS, REPORT_TITLE, STAGES
 from leadrank.functions.scoring import evaluation_means
 from leadrank.functions.text import format_g, message_chunks
+from leadrank.operators.row_texts import split_rows
 
 
 def _lines(*values: Column | str) -> Column:
@@ -147,6 +148,37 @@ def format_error_report(runs: DataFrame, messages: DataFrame, title: str = ERROR
     )
 
 
+def error_report_rows(runs: DataFrame, errors: DataFrame, title: str = ERROR_TITLE) -> DataFrame:
+    """The text of `format_error_report` as rows (run_id, line_kind, ord, text), for `split_rows` in this order.
+
+    `runs`: run_id, status. `errors`: run_id, ord, stage, error_type. A run may have any number of errors; only the head of
+    an alert is made per run.
+    """
+    head = F.array_join(
+        F.array(
+            F.lit(title),
+            F.concat(F.lit("Run: "), F.col("run_id").cast("string")),
+            F.concat(F.lit("Status: "), F.col("status")),
+            F.lit(""),
+            F.lit(LABELS["error_intro"]),
+        ),
+        "\n",
+    )
+    heads = runs.join(errors.select("run_id").distinct(), "run_id").select(
+        "run_id", F.lit(0).alias("line_kind"), F.lit(0).cast("long").alias("ord"), head.alias("text")
+    )
+    line = F.concat(F.lit("\n" + LABELS["bullet"]), F.concat_ws(": ", "stage", "error_type"))
+    lines = errors.join(runs.select("run_id"), "run_id").select(
+        "run_id", F.lit(1).alias("line_kind"), F.col("ord").cast("long").alias("ord"), line.alias("text")
+    )
+    return heads.unionByName(lines)
+
+
+def error_report_pieces(runs: DataFrame, errors: DataFrame, limit: int = MESSAGE_UNITS, **options) -> DataFrame:
+    """Rows (run_id, chunk_no, chunk): the alerts of `format_error_report` in pieces, without the alert as one value."""
+    return split_rows(error_report_rows(runs, errors), ["line_kind", "ord"], limit, **options)
+
+
 def split_messages(
     texts: DataFrame, text: str, keys: list[str], limit: int = MESSAGE_UNITS
 ) -> DataFrame:

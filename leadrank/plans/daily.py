@@ -312,7 +312,8 @@ class _Run:
             F.lit(self.as_of).alias("created_at"),
         )
         self.store.write_run(stored, "processing_errors", self.run_id)
-        return rows.withColumn("run_id", F.lit(self.run_id).cast("long"))
+        self.written_errors = rows.withColumn("run_id", F.lit(self.run_id).cast("long"))
+        return self.written_errors
 
     def summarize(self, observed, scores, strategies) -> DataFrame:
         run = F.lit(self.run_id).cast("long")
@@ -328,16 +329,19 @@ class _Run:
         ranked = scores.where(F.col("selected_rank").isNotNull())
         main = report.format_report(
             summary.select("*", day), report.strategies_of(ranked, strategies), skipped
-        ).withColumn("part", F.lit(1))
+        )
+        pieces = report.split_messages(main, "report", ["run_id"]).withColumn("chunk_no", F.col("chunk_no").cast("long"))
         if not scoring_only:
-            alert = report.format_error_report(summary, summary.select("run_id", "error_message"))
-            main = alert.withColumn("part", F.lit(0)).unionByName(main)
-        self.write_report(main)
+            later = pieces.withColumn("chunk_no", F.col("chunk_no") + _STAGE_WIDTH)
+            pieces = self.alert(summary).unionByName(later)
+        self.write_report(pieces)
+
+    def alert(self, summary: DataFrame) -> DataFrame:
+        """The alert in pieces; it is never one value, so a run may have any number of errors."""
+        return report.error_report_pieces(summary, self.written_errors)
 
-    def write_report(self, texts: DataFrame) -> None:
-        pieces = report.split_messages(texts, "report", ["run_id", "part"])
-        numbered = pieces.withColumn("chunk_no", F.col("part").cast("long") * _STAGE_WIDTH + F.col("chunk_no"))
-        write_report(numbered, f"{self.store.root}/reports/run_id={self.run_id}", self.secrets)
+    def write_report(self, pieces: DataFrame) -> None:
+        write_report(pieces, f"{self.store.root}/reports/run_id={self.run_id}", self.secrets)
 
     def write_run_row(self, status: str, summary: DataFrame | None = None) -> None:
         base = self.spark.range(1).select(F.lit(self.run_id).cast("long").alias("id")) if summary is None else (
@@ -385,7 +389,6 @@ class _Run:
             "summary",
         )
         if not self.quiet:
-            alert = report.format_error_report(summary, summary.select("run_id", "error_message"))
-            self.write_report(alert.withColumn("part", F.lit(0)))
+            self.write_report(self.alert(summary))
         self.write_run_row("failed", summary)
         return RunResult(self.run_id, "failed")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from leadrank.functions.fixed import COVERAGE_LEVELS, LABELS, REPORT_TITLE, STAGES
+from leadrank.functions.fixed import COVERAGE_LEVELS, LABELS, MESSAGE_UNITS, REPORT_TITLE, STAGES
 from leadrank.functions.scoring import evaluation_means, evaluation_priority, weighted_total
 from leadrank.functions.text import format_g
 from leadrank.operators import ranking, report, runs
@@ -13,6 +13,7 @@ from leadrank.plans.bindings import (
     SQL_RANKED,
     SQL_RATINGS,
     SQL_SCORES,
+    day_number,
     event_ratings,
     event_scores,
     evaluation_of_event,
@@ -216,8 +217,10 @@ def _hourly(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("company_id", F.col("user_id"))
 
 
-def _run_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def _run_parts(spark: SparkSession, folder: str, run: Column | None = None) -> dict[str, DataFrame]:
     hourly = _hourly(spark, folder)
+    if run is not None:
+        hourly = hourly.withColumn("run_id", run)
     stage = F.when(F.col("event_id") % 3 == 0, "discovery").when(F.col("event_id") % 3 == 1, "scoring")
     return {
         "runs": hourly.select("run_id").distinct(),
@@ -309,6 +312,26 @@ def error_reports(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# All errors of the table in two runs, so that one alert has many pieces.
+_SQL_LONG_RUNS = _SQL_HOURLY.replace(f"{SQL_DAY} * 24 + hour(ts)", f"{SQL_DAY} % 2")
+
+
+@query(
+    f"""WITH {_SQL_LONG_RUNS},
+alerts AS (
+  SELECT s.run_id, '# Sales Report Error' || chr(10) || 'Run: ' || s.run_id || chr(10) || 'Status: ' || s.status
+         || chr(10) || chr(10) || '{LABELS["error_intro"]}' || chr(10) || '{LABELS["bullet"]}'
+         || replace(m.error_message, '; ', chr(10) || '{LABELS["bullet"]}') AS report
+  FROM states s JOIN messages m ON m.run_id = s.run_id)
+SELECT run_id, i AS chunk_no, substr(report, i * {MESSAGE_UNITS} + 1, {MESSAGE_UNITS}) AS chunk
+FROM alerts, unnest(range(0, CAST(ceil(length(report) / {MESSAGE_UNITS}.0) AS BIGINT))) AS u(i)"""
+)
+def alert_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """R2 + R3: alerts of runs with very many errors, in pieces, from error rows."""
+    parts = _run_parts(spark, folder, day_number(F.col("ts")) % 2)
+    return report.error_report_pieces(runs.run_status(parts["runs"], parts["errors"]), parts["errors"])
+
+
 @query(
     """SELECT user_id AS company_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen

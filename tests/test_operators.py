@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import re
 import unicodedata
 from datetime import date, timedelta
@@ -8,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadrank.functions import records
-from leadrank.functions.fixed import LEGAL_FORMS
-from leadrank.functions.text import trigger_fingerprint
+from leadrank.functions.fixed import LEGAL_FORMS, MESSAGE_UNITS
+from leadrank.functions.text import trigger_fingerprint, utf16_chunks
 from leadrank.operators import evidence as ev, ranking, report, runs
 from leadrank.operators.inference import TransientError, batch_generate
+from leadrank.operators.row_texts import split_rows
 from leadrank.operators.validation import last_valid_attempt, review_candidates, validate_candidates
 from leadrank.plans.text_queries import page_date, page_language, page_title
 from leadrank.sources.files import read_responses, write_report
@@ -164,6 +166,33 @@ def test_split_messages(spark):
     assert texts.where(F.length("report") == 0).count() == 1
 
 
+@pytest.mark.parametrize("width", [1, 3, 1000])
+@pytest.mark.parametrize("limit", [2, 3, 7, 50])
+def test_rows_are_cut_as_their_joined_text(spark, width, limit):
+    rng = random.Random(limit)
+    letters = ["a", "語", "🙂", "🙂🙂", "e\u0301", "", None]
+    rows = [(run, n // 2, "".join(filter(None, rng.choices(letters, k=rng.randrange(9)))) or None)
+            for run, size in ((5, 40), (2, 1), (9, 0), (7, 23)) for n in range(size)]
+    texts = {}
+    for run, _, text in sorted(rows, key=lambda row: (row[0], row[1], (row[2] or "").encode())):
+        texts[run] = texts.get(run, "") + (text or "")
+    parts = spark.createDataFrame(rows, "run_id long, ord long, text string").repartition(5)
+    found = split_rows(parts, ["ord"], limit, width=width).orderBy("run_id", "chunk_no").collect()
+    expected = [(run, n, chunk) for run in sorted(texts) for n, chunk in enumerate(utf16_chunks(texts[run], limit))]
+    assert [tuple(row) for row in found] == expected
+
+
+def test_alerts_of_very_many_errors_have_no_large_value(spark):
+    errors = spark.range(100_000).selectExpr(
+        "42L AS run_id", "id * 3 AS ord", "'scoring' AS stage", "concat('Fault', id % 1000) AS error_type"
+    )
+    states = spark.createDataFrame([(42, "partial"), (43, "completed")], "run_id long, status string")
+    pieces = report.error_report_pieces(states, errors, width=1 << 10).orderBy("chunk_no").collect()
+    text = report.format_error_report(states, runs.error_messages(errors)).first().report
+    assert [row.chunk for row in pieces] == utf16_chunks(text, MESSAGE_UNITS)
+    assert [row.chunk_no for row in pieces] == list(range(len(pieces))) and {row.run_id for row in pieces} == {42}
+
+
 def test_long_reports_are_ordered_files(spark, tmp_path):
     chunks = spark.range(3000).selectExpr("id % 2 as run_id", "id as chunk_no", "concat('line ', id) as chunk").repartition(7)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
