@@ -24,7 +24,8 @@ WINDOW = 3
 # reaches as far as windows hold this smaller share.
 SURGE_SHARE = 0.3
 DIVE_SHARE = 0.05
-# What stands in `main` beside articles is main text if it has so much of the longest one's text, else only their frame.
+# What stands in `main` beside articles is main text if it has so much of the longest one's text, else only their frame;
+# of main text parted by articles the stretches stay that surge.
 FRAME_SHARE = 0.3
 
 # Element names of HTML by role.
@@ -215,8 +216,8 @@ def stripped(page: str) -> _Lines:
     return lines
 
 
-def weights(lines: _Lines) -> tuple[np.ndarray, bool]:
-    """Length of each line as far as it counts, and whether the page marks its article.
+def weights(lines: _Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each line as far as it counts, and the number of its article, 0 in pages that mark none.
 
     All articles of a page count, short ones too; an article within `main` has a number of its own.
     """
@@ -227,8 +228,8 @@ def weights(lines: _Lines) -> tuple[np.ndarray, bool]:
         counts = sizes >= FRAME_SHARE * sizes[1:].max()
         counts[[number for number in range(len(sizes)) if number not in lines.frames]] = True
         counts[0] = False
-        return np.where(counts[articles], lengths, 0), True
-    return np.maximum(0, lengths - np.array(lines.linked, np.int64) * 2), False
+        return np.where(counts[articles], lengths, 0), articles
+    return np.maximum(0, lengths - np.array(lines.linked, np.int64) * 2), articles
 
 
 def between(lengths: np.ndarray, surge: float, dive: float) -> np.ndarray:
@@ -248,19 +249,28 @@ def between(lengths: np.ndarray, surge: float, dive: float) -> np.ndarray:
     return keep
 
 
+def _peak(lengths: np.ndarray) -> int:
+    """Text of the fullest window."""
+    return np.convolve(lengths, np.ones(WINDOW, np.int64)).max()
+
+
 def main_text(page: str | None) -> str:
     """The article of a page as one line of text, empty if there is none."""
     if not page:
         return ""
     lines = stripped(page)
-    lengths, marked = weights(lines)
+    lengths, articles = weights(lines)
     if not lengths.any():
         return ""
-    if marked:
-        keep = between(lengths, 1, 0) & (lengths > 0)
-    else:
-        peak = np.convolve(lengths, np.ones(WINDOW, np.int64)).max()
+    if not articles.any():
+        peak = _peak(lengths)
         keep = between(lengths, SURGE_SHARE * peak, DIVE_SHARE * peak)
+    else:
+        keep = (lengths > 0) & ~np.isin(articles, list(lines.frames))
+        for number in lines.frames:
+            own = np.where(articles == number, lengths, 0)
+            if own.any():
+                keep |= between(own, SURGE_SHARE * _peak(own), 0) & (own > 0)
     return " ".join(text for text, kept in zip(lines.texts, keep) if kept)
 
 

@@ -55,6 +55,16 @@ def test_small_pages(page, text):
     assert main_text(page) == text
 
 
+def test_of_text_beside_articles_what_surges_stays():
+    """The breadcrumb and the line at the end stand in the same `main` as two paragraphs that are main text."""
+    article = "<article><p>one line</p><p>and another</p><p>and a third</p></article>"
+    text = "A paragraph of the page that stands beside its articles."
+    page = f"<main><p>path</p>{article}<p>{text}</p><p>{text}</p>{article}<p>tags</p></main>"
+    inside = "one line and another and a third"
+    assert main_text(page) == f"{inside} {text} {text} {inside}"
+    assert main_text(f"<main><h1>T</h1><p>{text}</p><p>a</p><p>b</p><p>c</p><p>end</p></main>") == f"T {text} a b c end"
+
+
 def test_windows():
     import numpy as np
 
