@@ -18,14 +18,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Rows that a task gets where the work is heavy per row.
+TASK_ROWS = 25_000
+
+
 def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row: a file with fewer splits than cores is dealt out to all of them.
+    """A table for work that is heavy per row: dealt out to all cores, and to more tasks as it grows.
 
-    A large table has more splits than that and is read as it is, without a shuffle.
+    The splits of a file follow its bytes, and a split of a narrow table holds millions of rows. A table with enough splits
+    is read as it is, without a shuffle.
     """
     rows = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def day_number(ts: Column) -> Column:

@@ -8,6 +8,7 @@ from leadrank.functions import records, scoring, text
 from leadrank.functions.fixed import DIMENSION_WEIGHTS
 from leadrank.functions.shape import text_problem
 from leadrank.operators.validation import with_problem
+from leadrank.plans import bindings
 from tests.samples import evaluation, strategy
 
 
@@ -190,3 +191,12 @@ def test_both_validators_agree(spark, candidate):
 def test_missing_text_is_malformed(spark):
     rows = spark.createDataFrame([(None,)], "text string")
     assert with_problem(rows, "text", records.EVALUATION).first().problem == "malformed"
+
+
+def test_heavy_rows_are_dealt_to_more_tasks_as_a_table_grows(spark, tmp_path):
+    """One split of a narrow file holds any number of rows."""
+    for rows in (1_000, 40 * bindings.TASK_ROWS):
+        spark.range(rows).coalesce(1).write.parquet(f"{tmp_path}/{rows}/narrow.parquet")
+        dealt = bindings.spread_table(spark, f"{tmp_path}/{rows}", "narrow")
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == rows and max(sizes) <= 1.1 * bindings.TASK_ROWS
