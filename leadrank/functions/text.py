@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from leadrank.functions.fixed import LEGAL_FORMS, PLACEHOLDER_SECRET, REDACTED
 
+# Pieces of texts, and their characters, that a worker holds before it hands them on.
+PIECES = 4_096
+PIECE_UNITS = 1 << 20
+
+
 def fold_names(names: pd.Series) -> pd.Series:
     """Normal forms of names: NFKC and case folding, then legal forms out one after the other, then white space."""
     folded = names.str.normalize("NFKC").str.casefold()
@@ -101,27 +107,48 @@ def sorted_evidence(urls: Column) -> Column:
     return F.array_sort(urls)
 
 
-def utf16_chunks(text: str, limit: int) -> list[str]:
-    """Cut one text into pieces of at most `limit` UTF-16 units without splitting a character."""
+def utf16_pieces(text: str, limit: int) -> Iterator[str]:
+    """The pieces of one text, each at most `limit` UTF-16 units, without splitting a character."""
     data = text.encode("utf-16-le", "surrogatepass")
-    pieces, start = [], 0
+    start = 0
     while start < len(data):
         end = min(start + 2 * limit, len(data))
         # A high surrogate at the end belongs to the next piece.
         if end < len(data) and 0xD8 <= data[end - 1] <= 0xDB:
             end -= 2
-        pieces.append(data[start:end].decode("utf-16-le", "surrogatepass"))
+        yield data[start:end].decode("utf-16-le", "surrogatepass")
         start = end
-    return pieces
 
 
-def message_chunks(text: Column, limit: int) -> Column:
-    """Array of pieces of a text, each at most `limit` UTF-16 units."""
+def utf16_chunks(text: str, limit: int) -> list[str]:
+    """Cut one text into pieces of at most `limit` UTF-16 units without splitting a character."""
+    return list(utf16_pieces(text, limit))
+
+
+def message_pieces(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For `mapInArrow`: a row per piece of the last column, with the other columns and `chunk_no`, `chunk`."""
     if limit < 2:
         raise ValueError("a character can take two units")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda value: utf16_chunks(value, limit), na_action="ignore")
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [*batch.schema.names[:-1], "chunk_no", "chunk"]
+
+            def made(rows: list[int], numbers: list[int], found: list[str]) -> pa.RecordBatch:
+                kept = [column.take(pa.array(rows, pa.int64())) for column in batch.columns[:-1]]
+                columns = [*kept, pa.array(numbers, pa.int32()), pa.array(found, pa.string())]
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            rows, numbers, found, units = [], [], [], 0
+            for row, text in enumerate(batch.column(batch.num_columns - 1)):
+                for number, piece in enumerate(utf16_pieces(text.as_py() or "", limit)):
+                    rows.append(row)
+                    numbers.append(number)
+                    found.append(piece)
+                    units += len(piece)
+                    if len(found) == PIECES or units >= PIECE_UNITS:
+                        yield made(rows, numbers, found)
+                        rows, numbers, found, units = [], [], [], 0
+            yield made(rows, numbers, found)
 
-    return chunks(text)
+    return pieces

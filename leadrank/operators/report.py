@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leadrank.functions.fixed import ERROR_TITLE, LABELS, MESSAGE_UNITS, REPORT_TITLE, STAGES
 from leadrank.functions.scoring import evaluation_means
-from leadrank.functions.text import format_g, message_chunks
+from leadrank.functions.text import format_g, message_pieces
 from leadrank.operators.row_texts import split_rows
 
 
@@ -182,6 +182,10 @@ def error_report_pieces(runs: DataFrame, errors: DataFrame, limit: int = MESSAGE
 def split_messages(
     texts: DataFrame, text: str, keys: list[str], limit: int = MESSAGE_UNITS
 ) -> DataFrame:
-    """Rows (keys, chunk_no, chunk): pieces of at most `limit` UTF-16 units that add up to the text."""
-    pieces = F.posexplode(message_chunks(F.col(text), limit)).alias("chunk_no", "chunk")
-    return texts.select(*keys, pieces)
+    """Rows (keys, chunk_no, chunk): pieces of at most `limit` UTF-16 units that add up to the text.
+
+    Pieces leave the worker some thousand at a time, so that it never holds those of a whole batch.
+    """
+    named = texts.select(*keys, F.col(text).alias("__text"))
+    fields = [T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())]
+    return named.mapInArrow(message_pieces(limit), T.StructType([*named.schema.fields[:-1], *fields]))

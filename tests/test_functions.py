@@ -1,6 +1,7 @@
 import json
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,17 @@ def test_message_chunks():
     assert [len(chunk.encode("utf-16-le")) // 2 for chunk in text.utf16_chunks("a🙂🙂b", 4)] == [3, 3]
 
 
+def test_pieces_leave_in_small_batches():
+    texts = ["ab🙂" * 500] * 1_000 + [None, "", "x" * 3_000_000]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    for limit in (100, 1_900):
+        made = list(text.message_pieces(limit)(iter([rows])))
+        assert max(batch.num_rows for batch in made) <= text.PIECES and len(made) > 3
+        found = pa.Table.from_batches(made).to_pylist()
+        wanted = [(n, i, c) for n, value in enumerate(texts) for i, c in enumerate(text.utf16_chunks(value or "", limit))]
+        assert [(row["id"], row["chunk_no"], row["chunk"]) for row in found] == wanted
+
+
 def candidate_cases(candidate):
     fact = {"topic": "sns", "fact": "f", "source_url": "https://x.example"}
     change = lambda **changes: {**candidate, **changes}
