@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leadrank.llm.components import components
+from leadrank.operators.key_filter import flag_any_key
 from leadrank.session import cut_lineage
 
 SHINGLE_WORDS = 3
@@ -248,12 +249,16 @@ def one_of_each(docs: DataFrame, key: str, fp: Column, find: Callable[[DataFrame
     chosen = cut_lineage(find(prints.select("fp", "first_id")).select(F.col("component_id").alias("rank")).distinct())
     copies = cut_lineage(rows.join(chosen, "rank").groupBy("rank").agg(F.count("*").alias("copies")))
     row = F.struct(*[F.col(f"`{name}`") for name in names])
-    marked = docs.select(row.alias("row"), rank.alias("rank")).join(copies, "rank")
+    # Only rows that may go, or may be there twice, are shuffled; a filter lets all others pass where they are scanned.
+    settled = copies.where("copies = 1")
+    doubtful = cut_lineage(rows.select("rank").distinct().join(settled, "rank", "left_anti"))
+    marked = flag_any_key(docs.select(row.alias("row"), rank.alias("rank")), doubtful, {"rank": "rank"}, "doubtful")
     columns = [F.col(f"row.`{name}`") for name in names]
-    kept = marked.where("copies = 1").select(*columns)
+    asked = marked.where("doubtful").join(copies, "rank")
+    kept = marked.where("not doubtful").select(*columns).union(asked.where("copies = 1").select(*columns))
     if copies.where("copies > 1").isEmpty():
         return kept
-    return kept.union(marked.where("copies > 1").select(*columns).dropDuplicates())
+    return kept.union(asked.where("copies > 1").select(*columns).dropDuplicates())
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", group_limit: int = GROUP_LIMIT) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from leadrank.llm import near_copies
 from tests.llm.samples import awkward, nothing
@@ -77,6 +79,18 @@ def test_what_is_compared_grows_with_the_group(spark):
         assert rows.count() <= copies and rows.select("fp").distinct().count() == rows.count()
 
 
+def test_texts_meet_before_they_are_shuffled(spark):
+    """Copies leave the map task as a row a band, near copies as a link each; names are those that Spark works out."""
+    rng = random.Random(10)
+    base = [f"h{n}" for n in range(300)]
+    texts = [" ".join(base)] * 300 + [" ".join(edited(rng, base, 1)) for _ in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rows = docs.mapInArrow(near_copies._banded, "band long, name long, link long").collect()
+    assert len(rows) < len(texts) * near_copies.BANDS / 2
+    named = docs.select(F.xxhash64(near_copies.digests("text")).alias("name")).distinct().collect()
+    assert {r.name for r in rows} == {r.name for r in named}
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark).selectExpr("*", "1 as rank", "2 as copies", "3 as fp", "4 as __rank")
     kept = near_copies.keep_one(docs)
