@@ -258,6 +258,11 @@ def _by_kind(found: Column, entity: Column, tries: Column, kind: Column, stream:
     )
 
 
+def alias(found: Column, entity: Column, tries: Column, key: str) -> Column:
+    """The canonical form of a surrogate; the plan holds the surrogate once, though the form names it many times."""
+    return _let(surrogate(found, entity, tries, key), canonical)
+
+
 def _found(text: str) -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(ANY), F.lit(0))
 
@@ -273,7 +278,7 @@ def colliding(entities: DataFrame, key: str) -> DataFrame:
     tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owners = cut_lineage(entities.withColumn("tries", F.lit(0)))
     while True:
-        named = cut_lineage(owners.repartition(tasks, "entity").withColumn("alias", canonical(surrogate(F.col("found"), F.col("entity"), F.col("tries"), key))))
+        named = cut_lineage(owners.repartition(tasks, "entity").withColumn("alias", alias(F.col("found"), F.col("entity"), F.col("tries"), key)))
         shared = named.groupBy("alias").agg(F.count("*").alias("users"), F.min(F.struct("tries", "entity"))["entity"].alias("owner"))
         real = named.select(F.col("entity").alias("alias"), F.lit(True).alias("real"))
         lost = (

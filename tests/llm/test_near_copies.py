@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadrank.llm import near_copies
+from leadrank.llm import components, near_copies
 from tests.llm.samples import awkward, nothing
 
 
@@ -97,3 +97,34 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 5, 8, None], key=str)
     assert near_copies.keep_one(nothing(spark)).count() == 0
+
+
+def test_searches_leave_stars_that_take_no_round(spark, monkeypatch):
+    """A chain of near copies in one part comes out as a star around the smallest digest, and components are done at once."""
+    rng = random.Random(11)
+    chain, texts = [f"h{n}" for n in range(200)], []
+    for _ in range(30):
+        chain = edited(rng, chain, 2)
+        texts.append((" ".join(chain),))
+    rows = spark.createDataFrame(texts, "text string").repartition(3).select(near_copies.digests("text").alias("fp"), "text")
+    edges = near_copies.links(rows)
+    found = {(bytes(e.u), bytes(e.v)) for e in edges.collect()}
+    assert len(found) > 20 and len({u for u, _ in found}) == len(found)
+    assert all(v < u for u, v in found) and not {u for u, _ in found} & {v for _, v in found}
+    monkeypatch.delattr(components, "_small_star")
+    assert {(bytes(e.u), bytes(e.v)) for e in components.components(edges).collect()} == found
+
+
+def test_components_of_chains_and_hubs(spark):
+    """Nodes end at the smallest of their component, with no round after the edges have become stars."""
+    rng = random.Random(12)
+    names = rng.sample(range(10_000), 900)
+    pairs = [(names[n], names[n + 1]) for n in range(200)] + [(names[300], names[n]) for n in range(301, 600)]
+    pairs += [(names[rng.randrange(600, 900)], names[rng.randrange(600, 900)]) for _ in range(200)]
+    root = {n: n for n in names}
+    for u, v in pairs:
+        low, high = sorted((root[u], root[v]))
+        root = {n: low if r == high else r for n, r in root.items()}
+    edges = spark.createDataFrame([*pairs, *pairs[:50], (5, 5)], "u long, v long").repartition(3)
+    rows = components.components(edges).collect()
+    assert sorted((r.u, r.v) for r in rows) == sorted((n, r) for n, r in root.items() if n != r)

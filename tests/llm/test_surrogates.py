@@ -136,3 +136,17 @@ def test_all_spellings_of_an_entity_share_one_value(spark):
     assert len(phones) == 1 and min(phones).startswith("49") and min(phones) != "493012345678"
     other, local = (re.sub(r"\D", "", phone) for phone in found[3].text.split(" or "))
     assert other != local  # one has a country code, the other none
+
+
+def test_no_plan_repeats_the_surrogate(spark, monkeypatch):
+    """Names of surrogates are worked out from a bound value; inlined, one plan held the surrogate more than ten times."""
+    plans, cut = [], surrogates.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return cut(df)
+
+    monkeypatch.setattr(surrogates, "cut_lineage", noted)
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    plans.append(surrogates.pseudonymized(docs, "k")._jdf.queryExecution().analyzed().toString())
+    assert 0 < max(plan.count("sha2(") for plan in plans) <= 4
